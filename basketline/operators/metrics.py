@@ -10,26 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: All classes together: the tables below have one row per class, so this is small.
-_ALL_CLASSES = Window.partitionBy()
-
-
 def _class_counts(samples: DataFrame, label: str) -> DataFrame:
     return samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _over_all_classes(value: Column) -> Column:
+    """Whole-table aggregate; the tables here have one row per class, so it is small."""
+    return value.over(Window.partitionBy())
+
+
 def class_weights(samples: DataFrame, label: str, power: float = 0.5) -> DataFrame:
     """Weight per class, 1 / n^power, scaled so that the mean over rows is 1."""
     raw = _class_counts(samples, label).withColumn("raw", 1.0 / F.pow("n", F.lit(power)))
     rows, mass = F.sum("n"), F.sum(F.col("n") * F.col("raw"))
-    weight = F.col("raw") * rows.over(_ALL_CLASSES) / mass.over(_ALL_CLASSES)
+    weight = F.col("raw") * _over_all_classes(rows) / _over_all_classes(mass)
     return raw.select(label, "n", weight.alias("weight"))
 
 
 def balanced_class_weights(samples: DataFrame, label: str) -> DataFrame:
     """Weight per class, rows / (classes x n)."""
     rows, classes = F.sum("n"), F.count(F.lit(1))
-    weight = rows.over(_ALL_CLASSES) / (classes.over(_ALL_CLASSES) * F.col("n"))
+    weight = _over_all_classes(rows) / (_over_all_classes(classes) * F.col("n"))
     return _class_counts(samples, label).select(label, "n", weight.alias("weight"))
 
 

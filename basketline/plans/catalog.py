@@ -1,6 +1,14 @@
 """Importing this module registers all queries."""
 
-from basketline.plans.queries import sequences  # noqa: F401
+from basketline.plans.queries import (  # noqa: F401
+    counting,
+    derived,
+    evaluation,
+    features,
+    scoring,
+    sequences,
+    splits,
+)
 from basketline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
