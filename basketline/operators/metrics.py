@@ -49,14 +49,15 @@ def accuracy(scored: DataFrame, label: str, prediction: str, by: str = "split")
 def in_top_k(scores: Column, label: Column, k: int = 3) -> Column:
     """Whether the label, a position in ``scores``, is among the k best.
 
-    Larger scores rank first and, among equal scores, larger labels do.
+    Larger scores rank first and, among equal scores, larger labels do. A label
+    without a score is not among them.
     """
-    own = F.get(scores, label)
+    own = F.get(scores, label.cast("int"))
     position = F.transform(scores, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
     better = F.filter(
         position, lambda p: (p["s"] > own) | ((p["s"] == own) & (p["i"] > label))
     )
-    return F.coalesce(F.size(better) < k, F.lit(False))
+    return own.isNotNull() & (F.size(better) < k)
 
 
 def top_k_accuracy(

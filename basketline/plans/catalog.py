@@ -5,6 +5,8 @@ from basketline.plans.queries import (  # noqa: F401
     derived,
     evaluation,
     features,
+    ingest,
+    learning,
     scoring,
     sequences,
     splits,
