@@ -19,6 +19,6 @@ def user_bucket(user_id: Column, buckets: int = USER_BUCKETS) -> Column:
 
 
 def seeded_rank_hash(*keys: Column, seed: int = RANDOM_SEED) -> Column:
-    """60-bit hash of a row key; ordering by it is a seeded shuffle."""
+    """52-bit hash of a row key, exact as a double; ordering by it is a seeded shuffle."""
     text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    return _hex_to_long(F.substring(F.md5(text), 1, 15))
+    return _hex_to_long(F.substring(F.md5(text), 1, 13))

@@ -22,13 +22,25 @@ from basketline.functions.hashing import seeded_rank_hash
 SKETCH_ACCURACY = 10_000
 
 
+def value_at_rank(
+    df: DataFrame, column: str, rank: int, n_rows: int, exact_rows: int = EXACT_RANK_ROWS
+):
+    """The value at a 1-based rank among the ``n_rows`` non-null values."""
+    return value_at_ranks(df, column, rank, rank, n_rows, exact_rows)[0]
+
+
 def value_at_ranks(
-    df: DataFrame, column: str, ranks: list[int], n_rows: int, exact_rows: int = EXACT_RANK_ROWS
+    df: DataFrame, column: str, first: int, last: int, n_rows: int, exact_rows: int = EXACT_RANK_ROWS
 ) -> list:
-    """Values at the given 1-based ranks among the ``n_rows`` non-null values."""
+    """Values at the neighbouring 1-based ranks ``first`` to ``last``.
+
+    Values are compared as doubles, which is exact for integers up to 2^53. Each round
+    keeps a thin slice around the ranks, a few ten-thousandths of the rows plus repeats,
+    so two or three rounds reach any table size.
+    """
     v = F.col("v")
-    rows = df.select(F.col(column).alias("v")).where(v.isNotNull())
-    found, wanted = {}, sorted(set(ranks))
+    rows = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull())
+    found, wanted = {}, list(range(first, last + 1))
     below, inside, slack = 0, n_rows, 3.0 / SKETCH_ACCURACY
     while wanted:
         if inside <= exact_rows:
@@ -57,7 +69,7 @@ def value_at_ranks(
         wanted = [rank for rank in wanted if rank not in found]
         rows = rows.where((v > low) & (v < high))
         below, inside, slack = first_between, counts["between"], 3.0 / SKETCH_ACCURACY
-    return [found[rank] for rank in ranks]
+    return [found[rank] for rank in range(first, last + 1)]
 
 
 def quantile(
@@ -70,8 +82,8 @@ def quantile(
     position = (n_rows - 1) * share
     lower = math.floor(position)
     upper = min(lower + 1, n_rows - 1)
-    low, high = value_at_ranks(df, column, [lower + 1, upper + 1], n_rows, exact_rows)
-    return float(low + (high - low) * (position - lower))
+    ends = value_at_ranks(df, column, lower + 1, upper + 1, n_rows, exact_rows)
+    return float(ends[0] + (ends[-1] - ends[0]) * (position - lower))
 
 
 def seeded_subset(
@@ -92,7 +104,8 @@ def seeded_subset(
         return df
     if n <= 0:
         return df.where(F.lit(False))
-    (cut,) = value_at_ranks(hashed, "_h", [n], n_rows, exact_rows)
+    cut = value_at_rank(hashed, "_h", n, n_rows, exact_rows)
+    cut = int(cut)
     counts = hashed.agg(
         F.count_if(F.col("_h") < cut).alias("under"), F.count_if(F.col("_h") == cut).alias("at")
     ).first()

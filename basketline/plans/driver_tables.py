@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 EVENT_TIME_UNIT = "us"
 
 
-def _ticks(unit: str, when) -> Column:
-    """Epoch ticks of a zone-free timestamp, whatever the session's time zone."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff(unit, start, F.col(when).cast("timestamp_ntz"))
+#: Columns in use. Stated here, so that opening a table runs no job to infer them.
+TABLES = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+    "props string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def utc(spark: SparkSession, when: str) -> Column:
+    """A zone-free column as the instant it is in UTC, whatever the session's zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z"):
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(when)).cast("timestamp")
+    return F.col(when).cast("timestamp")
 
 
 def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +40,7 @@ def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("event_type").alias("category"),
         c("user_id").cast("string").alias("user_id"),
         F.get_json_object("props", "$.k").alias("product_id"),
-        _ticks("MICROSECOND", "ts").alias("unixReviewTime"),
+        F.unix_micros(utc(spark, "ts")).alias("unixReviewTime"),
         F.least(F.floor(c("value") / 100) + 1, F.lit(5)).cast("double").alias("rating"),
         F.floor("value").cast("int").alias("helpful_votes"),
         (c("event_type") == "purchase").alias("verified_purchase"),
@@ -49,7 +63,7 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("p_brand").alias("category"),
         c("o_custkey").cast("string").alias("user_id"),
         c("l_partkey").cast("string").alias("product_id"),
-        _ticks("SECOND", "l_shipdate").alias("unixReviewTime"),
+        F.unix_seconds(utc(spark, "l_shipdate")).alias("unixReviewTime"),
         F.least(F.lit(5), "l_linenumber").cast("double").alias("rating"),
         c("l_quantity").cast("int").alias("helpful_votes"),
         (c("l_linenumber") == 1).alias("verified_purchase"),

@@ -46,7 +46,7 @@ def write_event_lines(spark: SparkSession, sf_dir: str, cut: bool) -> str:
     """
     c, kind = F.col, F.col("event_type")
     k = F.get_json_object("props", "$.k")
-    micros = tables._ticks("MICROSECOND", "ts").cast("string")
+    micros = F.unix_micros(tables.utc(spark, "ts")).cast("string")
     votes = F.floor("value").cast("string")
     product = (
         F.when(kind == "click", _field("asin", _quoted(k)))

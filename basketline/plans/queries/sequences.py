@@ -202,7 +202,7 @@ def seq_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("seq_hot_users", f"WITH {SAMPLES_SQL} SELECT {ALL_COLUMNS_SQL} FROM s")
 def seq_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full row again, users of average size and more being cut into chunks."""
-    options = {"hot_user_rows": 66, "chunk_rows": 500}
+    options = {"hot_user_rows": 66, "chunk_rows": 1_000}
     return rounded(
         event_samples(spark, sf_dir, described=True, category_counts=True, **options)
     )

@@ -16,7 +16,7 @@ from basketline.staging import stage
 SPLIT_SQL = """
 buckets AS (
   SELECT CAST(range AS INTEGER) AS user_bucket, row_number() OVER (ORDER BY
-    CAST('0x' || substr(md5('42|' || CAST(range AS VARCHAR)), 1, 15) AS BIGINT), range) AS place
+    CAST('0x' || substr(md5('42|' || CAST(range AS VARCHAR)), 1, 13) AS BIGINT), range) AS place
   FROM range(256)),
 splits AS (
   SELECT user_bucket, CASE WHEN place <= 204 THEN 'train' WHEN place <= 229 THEN 'val'
@@ -26,7 +26,7 @@ sp AS (
     CAST('0x' || substr(md5(s.user_id), 1, 8) AS BIGINT) % 256)"""
 
 ROW_HASH_SQL = """CAST('0x' || substr(md5('42|' || user_id || '|' ||
-  CAST(prefix_length AS VARCHAR)), 1, 15) AS BIGINT)"""
+  CAST(prefix_length AS VARCHAR)), 1, 13) AS BIGINT)"""
 
 
 @query(
@@ -96,7 +96,7 @@ def split_cap_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SAMPLES_SQL}
     SELECT user_id, prefix_length, target_category_idx FROM s
     QUALIFY row_number() OVER (ORDER BY
-      CAST('0x' || substr(md5('165|' || user_id || '|' || CAST(prefix_length AS VARCHAR)), 1, 15)
+      CAST('0x' || substr(md5('165|' || user_id || '|' || CAST(prefix_length AS VARCHAR)), 1, 13)
         AS BIGINT), user_id, prefix_length) <= 2000""",
 )
 def tuning_subset(spark: SparkSession, sf_dir: str) -> DataFrame:

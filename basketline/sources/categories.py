@@ -54,10 +54,9 @@ def category_index(names: list[str]) -> dict[str, int]:
 
 
 def category_dim(spark: SparkSession, names: list[str]) -> DataFrame:
-    """The dimension as a local table; Spark broadcasts it by its known size."""
-    return spark.createDataFrame(
-        list(category_index(names).items()), "category string, category_idx int"
-    )
+    """The dimension as a table to broadcast. Its size is the checked list's length."""
+    rows = list(category_index(_checked(names)).items())
+    return F.broadcast(spark.createDataFrame(rows, "category string, category_idx int"))
 
 
 def with_category_index(df: DataFrame, names: list[str]) -> DataFrame:

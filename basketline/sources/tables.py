@@ -16,10 +16,15 @@ def write_table(
     partition_by: tuple[str, ...] = ("category",),
     max_records_per_file: int = MAX_RECORDS_PER_FILE,
 ) -> None:
-    """Write a stage table. Rows stay where they are: no shuffle by the partition
-    column, so that one large category is written by many tasks."""
+    """Write a stage table; only the partitions that ``df`` has rows for are replaced.
+
+    The rebalance hint evens out file sizes: small categories end up in one file
+    each, and adaptive execution splits a large one over many tasks.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *[F.col(c) for c in partition_by])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(*partition_by)
         .parquet(path)
