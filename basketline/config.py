@@ -35,6 +35,9 @@ ENSEMBLE_SIZE = 2
 HOT_KEY_ROWS = 1_000_000
 #: Rows in one piece of a hot user's history.
 HOT_CHUNK_ROWS = 250_000
+#: Pieces that all hot histories together are cut into at most; beyond it pieces grow,
+#: and a piece's sort spills, rather than a shuffle getting millions of partitions.
+HOT_MAX_CHUNKS = 20_000
 #: Keys that may be shipped to every executor as a broadcast table.
 MAX_BROADCAST_KEYS = 100_000
 #: Rows that exact order statistics may hold in one aggregation buffer.

@@ -54,12 +54,18 @@ def prefix_favourite(samples: DataFrame) -> DataFrame:
 def validation_baselines(samples: DataFrame) -> DataFrame:
     """Majority label of the train rows and the three rules' accuracy on validation rows.
 
-    One aggregate by (split, target) carries all of it; its size is splits x categories.
+    A rule whose column is missing has a null accuracy. One aggregate by (split, target)
+    carries all of it; its size is splits x categories.
     """
+    rules = {"last": "last_category_idx", "favourite": "prefix_most_freq_category_idx"}
+
+    def hits(column: str) -> Column:
+        known = F.col(column) == F.col(TARGET) if column in samples.columns else F.lit(None)
+        return F.sum(known.cast("long"))
+
     cells = samples.groupBy("split", TARGET).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("last_category_idx") == F.col(TARGET)).alias("last_hits"),
-        F.count_if(F.col("prefix_most_freq_category_idx") == F.col(TARGET)).alias("favourite_hits"),
+        *[hits(column).alias(f"{name}_hits") for name, column in rules.items()],
     )
     target, n = F.col(TARGET), F.col("n")
     in_val = F.col("split") == "val"
@@ -70,10 +76,10 @@ def validation_baselines(samples: DataFrame) -> DataFrame:
         *[F.sum(F.when(in_val, F.col(c))).alias(c) for c in ("n", "last_hits", "favourite_hits")],
     )
     majority = F.filter("val", lambda cell: cell["idx"] == F.col("majority_idx"))
-    hits = F.coalesce(F.get(majority, F.lit(0))["n"], F.lit(0))
+    majority_hits = F.coalesce(F.get(majority, F.lit(0))["n"], F.lit(0))
     return folded.select(
         "majority_idx",
-        F.try_divide(hits, n).alias("majority_accuracy"),
+        F.try_divide(majority_hits, n).alias("majority_accuracy"),
         F.try_divide("last_hits", "n").alias("last_accuracy"),
         F.try_divide("favourite_hits", "n").alias("favourite_accuracy"),
     )

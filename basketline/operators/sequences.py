@@ -34,8 +34,7 @@ def purchase_events(
     ``tie_break`` names columns that order rows of equal time; without it, the
     product and then all values do, which leaves only identical rows unordered.
     """
-    timed = reviews.where(F.col("unixReviewTime").isNotNull() & F.col("user_id").isNotNull())
-    timed = with_review_defaults(timed).withColumn(
+    timed = with_review_defaults(_timed(reviews)).withColumn(
         "unixReviewTime", F.col("unixReviewTime").cast("long")
     )
     named = "category" in timed.columns
@@ -45,6 +44,10 @@ def purchase_events(
     return timed.select(*columns)
 
 
+def _timed(reviews: DataFrame) -> DataFrame:
+    return reviews.where(F.col("unixReviewTime").isNotNull() & F.col("user_id").isNotNull())
+
+
 def _tie_columns(df: DataFrame, tie_break: list[str] | None) -> list[str]:
     if tie_break is not None:
         return list(tie_break)
@@ -72,7 +75,7 @@ def sequence_samples(
     events = purchase_events(reviews, categories, tie_break)
     order = ["unixReviewTime", *_tie_columns(events, tie_break)]
     index = category_index(categories) if category_counts else {}
-    hot = hot_keys(events, "user_id", hot_user_rows)
+    hot = hot_keys(_timed(reviews), "user_id", hot_user_rows)
     ordinary, heavy = split_hot(events, "user_id", hot)
 
     def finish(prefixes: DataFrame, features: DataFrame | None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.config import HOT_KEY_ROWS, MAX_BROADCAST_KEYS
+from basketline.config import HOT_KEY_ROWS, HOT_MAX_CHUNKS, MAX_BROADCAST_KEYS
 from basketline.staging import stage
 
 
@@ -44,6 +44,6 @@ def cut_in_order(df: DataFrame, key: str, order: list[str], rows_per_chunk: int)
     chunk numbers depend on sampled range bounds and are stored for the same reason.
     """
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "hot-rows")
-    pieces = max(1, -(-rows.count() // rows_per_chunk))
+    pieces = min(HOT_MAX_CHUNKS, max(1, -(-rows.count() // rows_per_chunk)))
     ranged = rows.repartitionByRange(pieces, key, *order, "_row")
     return stage(ranged.withColumn("chunk", F.spark_partition_id()), "hot-chunks")

@@ -15,7 +15,7 @@ def read_category_list(spark: SparkSession, path: str) -> list[str]:
 
     The list becomes columns of wide tables, so it must be small; that is checked.
     """
-    name = F.trim("value")
+    name = F.regexp_replace("value", r"^\s+|\s+$", "")
     lines = spark.read.text(path).select(
         F.monotonically_increasing_id().alias("position"), name.alias("name")
     )
