@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketline.operators import derived
 from basketline.plans import driver_tables as tables
@@ -41,8 +42,8 @@ def derived_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "derived_deltas",
     f"""WITH {SAMPLES_SQL} SELECT user_id, prefix_length,
-    round(last_rating - prefix_avg_rating, 9) AS last_minus_prefix_avg_rating,
-    round(last_item_avg_rating - prefix_avg_item_avg_rating, 9)
+    round(last_rating - prefix_avg_rating, 9) + 0.0 AS last_minus_prefix_avg_rating,
+    round(last_item_avg_rating - prefix_avg_item_avg_rating, 9) + 0.0
       AS last_item_avg_minus_prefix_item_avg FROM s""",
 )
 def derived_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +99,12 @@ def derived_frac_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "derived_tempo",
     f"""WITH {SAMPLES_SQL} SELECT user_id, prefix_length,
-    round({DAYS}, 9) AS prefix_timespan_days,
+    round({DAYS}, 4) AS prefix_timespan_days,
     round(CASE WHEN prefix_timespan = 0 THEN prefix_length ELSE prefix_length / {DAYS} END, 9)
       AS prefix_purchases_per_day FROM s""",
 )
 def derived_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosting(spark, sf_dir, "prefix_timespan_days", "prefix_purchases_per_day")
+    """Days are compared to four digits: microseconds over a day's length often end in an
+    exact half at the ninth, which engines round either way."""
+    tempo = _boosting(spark, sf_dir, "prefix_timespan_days", "prefix_purchases_per_day")
+    return tempo.withColumn("prefix_timespan_days", F.round("prefix_timespan_days", 4))
