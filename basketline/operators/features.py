@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.config import HELPFUL_CLIP_TOP_USERS
+from basketline.config import HELPFUL_CLIP_TOP_USERS, HOT_KEY_ROWS
 from basketline.functions.coerce import clip_high
 from basketline.operators import counting
+from basketline.operators.skew import known_hot_keys, split_hot
 
 
 def latest_items(items: DataFrame, order: str = "line_order") -> DataFrame:
@@ -23,12 +24,31 @@ def latest_items(items: DataFrame, order: str = "line_order") -> DataFrame:
     return last.select("category", "product_id", "last.item_avg_rating", "last.item_categories")
 
 
-def top_user_reviews(reviews: DataFrame, top_users: DataFrame, items: DataFrame) -> DataFrame:
+def reviews_of(
+    reviews: DataFrame, top_users: DataFrame, hot_user_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """Reviews whose user is among ``top_users``.
+
+    When that table is too large to broadcast, rows are shuffled by user. Users whose
+    total says that they alone would fill a task stay out of that shuffle: there are
+    few of them, so they are matched where their rows lie.
+    """
+    hot = None
+    if "total_purchases" in top_users.columns:
+        hot = known_hot_keys(top_users, "user_id", "total_purchases", hot_user_rows)
+    ordinary, heavy = split_hot(reviews, "user_id", hot)
+    kept = ordinary.join(top_users.select("user_id"), "user_id", "left_semi")
+    return kept if heavy is None else kept.unionByName(heavy)
+
+
+def top_user_reviews(
+    reviews: DataFrame, top_users: DataFrame, items: DataFrame, hot_user_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
     """Reviews of the selected users with item attributes.
 
     ``items`` has one row per (category, product), see ``latest_items``.
     """
-    kept = reviews.join(top_users.select("user_id"), "user_id", "left_semi")
+    kept = reviews_of(reviews, top_users, hot_user_rows)
     described = kept.join(items, ["category", "product_id"], "left")
     return described.select(
         "category",

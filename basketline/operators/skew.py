@@ -20,11 +20,18 @@ def hot_keys(df: DataFrame, key: str, max_rows: int = HOT_KEY_ROWS) -> DataFrame
     At most rows / ``max_rows`` keys qualify. Up to the broadcast limit the
     result carries a broadcast hint; beyond it, it is a plain stored table.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows)
-    n_hot = sizes.count()
+    return known_hot_keys(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", max_rows)
+
+
+def known_hot_keys(
+    sizes: DataFrame, key: str, size: str, max_rows: int = HOT_KEY_ROWS
+) -> DataFrame | None:
+    """As ``hot_keys``, from a table that already holds the rows per key."""
+    large = sizes.where(F.col(size) > max_rows)
+    n_hot = large.count()
     if n_hot == 0:
         return None
-    keys = stage(sizes.select(key), "hot-keys")
+    keys = stage(large.select(key), "hot-keys")
     return F.broadcast(keys) if n_hot <= MAX_BROADCAST_KEYS else keys
 
 

@@ -48,6 +48,17 @@ def test_only_top_users_with_item_attributes_of_their_category(kept):
     }
 
 
+def test_hot_top_users_are_kept_once(spark, items):
+    """A user with a third of all rows is matched outside the shuffle; rows stay the same."""
+    data = [("A", "hot" if i % 3 == 0 else f"u{i % 40}", "p", i, 1.0, 1, True) for i in range(900)]
+    reviews = spark.createDataFrame(data, REVIEWS)
+    top = spark.createDataFrame([("hot", 300), ("u1", 15), ("u7", 15)], "user_id string, total_purchases long")
+    want = sorted(d[3] for d in data if d[1] in ("hot", "u1", "u7"))
+    for limit in (100, 10, 10**6):
+        kept = features.top_user_reviews(reviews, top, items, hot_user_rows=limit)
+        assert sorted(t for (t,) in rows(kept, "unixReviewTime")) == want
+
+
 def test_user_features(kept, top):
     table = features.user_features(kept, top)
     assert as_set(
