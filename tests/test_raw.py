@@ -2,7 +2,6 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from basketline import schemas
 from basketline.operators import features
@@ -161,4 +160,3 @@ def test_scan_reads_only_the_needed_fields(spark, tmp_path):
     counted = raw.clean_reviews(raw.read_review_lines(spark, path, lenient=False)).groupBy("user_id").count()
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:string>" in plan
-    assert F is not None
