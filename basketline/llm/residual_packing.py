@@ -15,6 +15,7 @@ equal length take their order in the partition. An empty table gives an empty ta
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.llm.worker import kept, splits_plainly, tokenizer
+from basketline.llm.worker import kept, piece_encoder, splits_plainly, tokenizer
 from basketline.staging import stage
 
 #: Pieces that a task packs at a time; what is left of a block joins the next one.
@@ -35,9 +36,9 @@ SLACK = 16
 CARRY = 512
 FAN_IN = 16
 #: Words that a worker keeps the ids of.
-CACHE_SIZE = 600_000
-#: Joins new words for one call; a character that no plainly split text has.
-_BETWEEN = "\x01"
+CACHE_SIZE = 800_000
+#: The tokenizer's splitting pattern, for lower-case texts that split plainly.
+PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 #: A piece is (doc, piece, start, length, crc); ``at`` is its place in its bin.
 PIECE = pa.struct([(n, pa.int64()) for n in ("doc", "piece", "start", "length", "crc", "at")])
@@ -81,46 +82,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Ids:
-    """Token ids of texts as bytes, four to an id, with a cache of words."""
+    """Token ids of texts as bytes, four to an id, with a cache of words.
+
+    Words between white space are split by ``PRE_TOKEN`` and never merge with each other.
+    Texts that don't split plainly (see ``worker``) go through the library whole.
+    """
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
+        self.piece = piece_encoder(path)
         self.words: dict[str, bytes] = kept(f"word ids {path}", dict)
-        self.between = self.encode([_BETWEEN])[0]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in done]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words in one call: ids of a word don't depend on its neighbours."""
-        if len(self.words) + len(words) > CACHE_SIZE:
+    def learn(self, word: str) -> bytes:
+        if len(self.words) >= CACHE_SIZE:
             self.words.clear()
-        ids = self.encode([f" {_BETWEEN} ".join(words)])[0]
-        marks = np.flatnonzero(ids == self.between[0])
-        if len(self.between) == 1 and len(marks) == len(words) - 1:
-            parts = np.split(ids, marks)
-            parts = [parts[0], *(p[1:] for p in parts[1:])]
-        else:
-            parts = self.encode(words)
-        self.words.update((w, p.tobytes()) for w, p in zip(words, parts, strict=True))
+        ids = [i for piece in PRE_TOKEN.findall(word) for i in self.piece(piece)]
+        self.words[word] = data = np.array(ids, dtype="<u4").tobytes()
+        return data
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        plain = [t is not None and splits_plainly(t) for t in texts]
-        split = [t.lower().split() if p else None for t, p in zip(texts, plain, strict=True)]
-        get = self.words.get
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self.encode([text])[0].tobytes() if text else b""
-                continue
-            found = list(map(get, words))
-            if None in found:
-                self.learn(list({w for w, ids in zip(words, found, strict=True) if ids is None}))
-                found = list(map(get, words))
-                if None in found:  # the cache started again
-                    yield self.encode([text])[0].tobytes()
-                    continue
-            yield b"".join(found)
+        get, learn = self.words.get, self.learn
+        for text in texts:
+            if not text:
+                yield b""
+            elif splits_plainly(text):
+                yield b"".join([get(word) or learn(word) for word in text.lower().split()])
+            else:
+                done = self.library.encode_batch_fast([text], add_special_tokens=False)
+                yield np.array(done[0].ids, dtype="<u4").tobytes()
 
 
 def _pack(items: list[Bin], capacity: int) -> list[Bin]:

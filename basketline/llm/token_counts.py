@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.llm.worker import kept, splits_plainly, tokenizer
+from basketline.llm.worker import kept, piece_encoder, splits_plainly, tokenizer
 
 #: Pre-tokens in the broadcast table, that a task may propose, and that a task may count.
 TABLE_SIZE = 32_768
@@ -66,13 +66,14 @@ def frequent_pre_tokens(docs: DataFrame, text: str) -> DataFrame:
 def token_count(docs: DataFrame, tokenizer_file: str, text: str = "text"):
     """A column with the number of tokens of each text of ``docs``."""
     spark = docs.sparkSession
+    encode_here = piece_encoder(tokenizer_file)
     pieces = [row.piece for row in frequent_pre_tokens(docs, text).select("piece").collect()]
-    lengths = [len(e.ids) for e in tokenizer(tokenizer_file).encode_batch_fast(pieces, add_special_tokens=False)]
-    table = spark.sparkContext.broadcast(dict(zip(pieces, lengths, strict=True)))
+    table = spark.sparkContext.broadcast({piece: len(encode_here(piece)) for piece in pieces})
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         library = tokenizer(tokenizer_file)
+        encode = piece_encoder(tokenizer_file)
         frequent = table.value
         pieces_seen: dict[str, int] = kept(f"piece lengths {tokenizer_file}", dict)
         words_seen: dict[str, int] = kept(f"word lengths {tokenizer_file}", dict)
@@ -84,9 +85,8 @@ def token_count(docs: DataFrame, tokenizer_file: str, text: str = "text"):
             if len(pieces_seen) + len(new) > CACHE_SIZE:
                 pieces_seen.clear()
                 new = {p for ps in split.values() for p in ps if p not in frequent}
-            order = list(new)
-            for piece, done in zip(order, library.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                pieces_seen[piece] = len(done.ids)
+            for piece in new:
+                pieces_seen[piece] = len(encode(piece))
             if len(words_seen) + len(words) > CACHE_SIZE:
                 words_seen.clear()
             for word, ps in split.items():

@@ -37,3 +37,45 @@ def tokenizer(path: str):
         return Tokenizer.from_file(path)
 
     return kept(f"tokenizer {path}", load)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable bytes stand for
+    themselves, the others for the code points from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+#: Stands behind the last byte of a pre-token where the vocabulary marks word ends; no UTF-8 has it.
+_END = b"\xff"
+
+
+def piece_encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of one pre-token by the vocabulary's ranks, several times faster than a library call.
+
+    A byte-pair vocabulary whose ids are the order of its merges is a table of ranks. A
+    suffix at word ends becomes a byte of its own, whose merges come first since the ids of
+    single letters precede all merges.
+    """
+
+    def load():
+        import json
+
+        import tiktoken
+
+        library = tokenizer(path)
+        model = json.loads(library.to_str())["model"]
+        suffix, letters = model["end_of_word_suffix"] or "", byte_letters()
+        special = {t.content for t in library.get_added_tokens_decoder().values()}
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if token not in special:
+                last = bool(suffix) and token.endswith(suffix)
+                word = token.removesuffix(suffix) if last else token
+                ranks[bytes(letters[c] for c in word) + (_END if last else b"")] = i
+        encoding = tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        encode, end = encoding._core_bpe.encode_single_piece, _END if suffix else b""
+        return lambda piece: encode(piece.encode() + end)
+
+    return kept(f"pieces {path}", load)
