@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketline.llm import residual_packing, token_counts
-from basketline.llm.common import table
+from basketline.llm import hd_langid, knn_quality, residual_packing, token_counts, toxicity_crf
+from basketline.llm.common import held_out, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +18,30 @@ def query(function):
     return function
 
 
+@query
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 4, 2)
+    field = toxicity_crf.learn(docs, table(spark, sf_dir, "labels"), ~apart)
+    tagged = docs.select("doc_id", apart.alias("held_out"), toxicity_crf.tag(field, docs).alias("found"))
+    return tagged.select(
+        "doc_id",
+        "held_out",
+        F.col("found.score").alias("score"),
+        (F.col("found.score") >= 0.3).cast("int").alias("predicted"),
+        F.size("found.spans").alias("n_spans"),
+    )
+
+
+@query
+def op3_hd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = held_out("doc_id", 4, 2)
+    known = hd_langid.prototypes(docs, ~apart)
+    found = docs.select("doc_id", apart.alias("held_out"), hd_langid.identify(known, docs).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +49,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 5, 0)
+    space = knn_quality.learn(docs, table(spark, sf_dir, "labels"), ~apart)
+    scored = docs.select("doc_id", apart.alias("held_out"), knn_quality.score(space, docs).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
