@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,48 @@ def labelled_sample(
         ids = part if ids is None else ids.unionAll(part)
     texts = docs.select(F.col(doc_id).alias("sample_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "sample_id").select("text", "label")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches cut anew so that rows with equal integer ``keys``, which follow each other,
+    come together. Memory is one batch and one group."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        values = np.stack([table[k].to_numpy() for k in keys], axis=1)
+        others = np.flatnonzero((values != values[-1]).any(axis=1))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups of equal ``keys`` begin, with the number of rows at the end."""
+    values = np.stack([table[k].to_numpy() for k in keys], axis=1)
+    new = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+    return np.concatenate([[0], new, [len(values)]])
+
+
+class Merged:
+    """Positions merged into groups; a group's label is its smallest position."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
+        while True:
+            la, lb = label[a], label[b]
+            apart = la != lb
+            if not apart.any():
+                return
+            low, high = np.minimum(la, lb)[apart], np.maximum(la, lb)[apart]
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label[:] = label[label]

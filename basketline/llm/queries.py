@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import hd_langid, knn_quality, residual_packing, token_counts, toxicity_crf
+from basketline.llm import (
+    gray_simhash,
+    hd_langid,
+    knn_quality,
+    residual_packing,
+    token_counts,
+    toxicity_crf,
+    vector_lsh,
+)
 from basketline.llm.common import held_out, table
 
 QUERIES = {}
@@ -42,6 +50,11 @@ def op3_hd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+@query
+def op4_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_lsh.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +62,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", gray_simhash.as_hex("code").alias("fingerprint"), "component_id")
+
+
 @query
 def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
