@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketline.llm import (
+    bounded_ring,
     gray_simhash,
     hd_langid,
     knn_quality,
     residual_packing,
+    temperature_mix,
     token_counts,
     toxicity_crf,
     vector_lsh,
@@ -62,12 +64,28 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", "source", temperature_mix.word_count("text").alias("n_words"))
+    mixed = temperature_mix.mix(narrow, target_entropy=0.9, max_repeats=4.0, tokens=F.col("n_words"))
+    return mixed.select("doc.doc_id", "source", "n_tokens", "block", "pass", "draw")
+
+
 @query
 def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", gray_simhash.as_hex("code").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = bounded_ring.shard_rows(table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
 @query
 def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
