@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketline.llm import (
+    adaptive_rules,
     bounded_ring,
     gray_simhash,
     hd_langid,
@@ -43,6 +44,14 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_adaptive_rules"] = adaptive_rules.ORACLE
+
+
 @query
 def op3_hd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
