@@ -207,19 +207,28 @@ def links(codes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, code, component_id) for each row, with the columns in ``keep``.
+    """(doc_id, code, component, component_id) for each row, with the columns in ``keep``.
 
-    ``component_id`` is the smallest doc_id reachable over links of fingerprints.
+    ``code`` is the fingerprint, ``component`` the smallest one reachable over links, and
+    ``component_id`` the smallest doc_id that has any of these.
     """
-    code = free_name(docs, "code")
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(text).alias(code), *keep), "fingerprints")
-    smallest = stage(rows.groupBy(F.col(code).alias("code")).agg(F.min("doc_id").alias("first")), "codes")
-    grouped = components(links(smallest.select("code")))
-    named = smallest.join(grouped, smallest["code"] == grouped["node"], "left").select(
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(text).alias("code"), *keep), "fingerprints")
+    distinct = stage(rows.groupBy("code").agg(F.min("doc_id").alias("first")), "codes")
+    grouped = components(links(distinct.select("code")))
+    named = distinct.join(grouped, distinct["code"] == grouped["node"], "left").select(
         "code", "first", F.coalesce("component", "code").alias("component")
     )
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_code = named.join(least, "component").select(F.col("code").alias("_code"), "component_id")
-    return rows.join(by_code, rows[code] == by_code["_code"]).select(
-        "doc_id", F.col(code).alias("code"), "component_id", *keep
+    return rows.join(named.join(least, "component").drop("first"), "code").select(
+        "doc_id", "code", "component", "component_id", *keep
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id's, a null id last."""
+    row = free_name(docs, "row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    grouped = near_duplicates(rows, doc_id, text, keep=(row,))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    chosen = grouped.groupBy("component").agg(first[row].alias(row))
+    return rows.join(chosen.select(row), row, "left_semi").select(*docs.columns)
