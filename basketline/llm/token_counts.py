@@ -56,7 +56,8 @@ def frequent_pre_tokens(docs: DataFrame, text: str) -> DataFrame:
             for piece in PRE_TOKEN.findall(f" {word}"):
                 pieces[piece] += n
         top = pieces.most_common(TASK_SIZE)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame(top, columns=["piece", "n"])
 
     proposed = docs.select(text).mapInPandas(common, "piece string, n long")
     merged = proposed.groupBy("piece").agg(F.sum("n").alias("n"))

@@ -183,7 +183,8 @@ def _windows(sample: DataFrame, ratios: dict[str, float]) -> list:
                         own = [(i - begin, fs) for i, fs in found if begin <= i < end]
                         toxic = [bool(label) and max(map(table.get, fs)) >= TOKEN_RATIO for _, fs in own]
                         rows.append((min(end, len(words)) - begin, [i for i, _ in own], [fs for _, fs in own], toxic))
-            yield pd.DataFrame(rows, columns=["n", "places", "features", "toxic"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["n", "places", "features", "toxic"])
 
     schema = "n int, places array<int>, features array<array<string>>, toxic array<boolean>"
     rows = sample.mapInPandas(cut, schema).collect()
