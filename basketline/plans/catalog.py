@@ -7,6 +7,7 @@ from basketline.plans.queries import (  # noqa: F401
     features,
     ingest,
     learning,
+    reruns,
     scoring,
     sequences,
     splits,

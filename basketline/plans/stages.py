@@ -7,10 +7,12 @@ and replaces only their partitions.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketline import config, schemas
 from basketline.operators import baselines, counting, features, scoring
@@ -21,7 +23,8 @@ from basketline.sources import raw, tables
 
 @dataclass(frozen=True)
 class Tables:
-    """Where the stage tables are."""
+    """Where the stage tables are. Each has its schema stored beside it, so that a table
+    without rows, which has no file, still has its columns and types."""
 
     root: str
 
@@ -29,13 +32,25 @@ class Tables:
         return f"{self.root.rstrip('/')}/{name}"
 
     def read(self, spark: SparkSession, name: str, schema=None, categories=None) -> DataFrame:
+        if schema is None:
+            stored = spark.read.schema("value string").text(self.path(f"_schemas/{name}"), wholetext=True)
+            schema = StructType.fromJson(json.loads(stored.first()[0]))
         return tables.read_table(spark, self.path(name), schema, categories)
 
-    def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ("category",)) -> None:
+    def write(
+        self,
+        df: DataFrame,
+        name: str,
+        partition_by: tuple[str, ...] = ("category",),
+        categories: list[str] | None = None,
+    ) -> None:
+        """Replace a table, or the partitions of ``categories``."""
         if partition_by:
-            tables.write_table(df, self.path(name), partition_by)
+            tables.write_table(df, self.path(name), partition_by, categories=categories)
         else:
             df.write.mode("overwrite").parquet(self.path(name))
+        schema = df.sparkSession.range(1).select(F.lit(df.schema.json()).alias("value"))
+        schema.coalesce(1).write.mode("overwrite").option("lineSep", " ").text(self.path(f"_schemas/{name}"))
 
 
 ITEM_LINES = schemas.StructType(
@@ -68,21 +83,21 @@ def build_user_counts(
     """Purchases per user and category; review and item statistics with histograms."""
     reviews = out.read(spark, "reviews", schemas.REVIEWS, categories)
     items = out.read(spark, "items", ITEM_LINES, categories)
-    out.write(counting.user_counts(reviews), "user_counts")
+    out.write(counting.user_counts(reviews), "user_counts", categories=categories)
     counts = out.read(spark, "user_counts", schemas.USER_COUNTS, categories)
     maps = {
         "rating_hist": (counting.rating_histogram(reviews), "rating"),
         "helpful_hist": (counting.helpful_histogram(reviews), "helpful"),
         "purchases_hist": (counting.purchases_histogram(counts), "purchases"),
     }
-    _write_stats(out, "review_stats", counting.review_stats(reviews), maps)
+    _write_stats(out, "review_stats", counting.review_stats(reviews), maps, categories)
     numbers = {"rating_number_hist": (counting.rating_number_histogram(items), "rating_number")}
-    _write_stats(out, "meta_stats", counting.item_stats(items), numbers)
+    _write_stats(out, "meta_stats", counting.item_stats(items), numbers, categories)
 
 
-def _write_stats(out: Tables, name: str, scalars: DataFrame, maps: dict) -> None:
+def _write_stats(out: Tables, name: str, scalars: DataFrame, maps: dict, categories) -> None:
     folded = {n: tables.histogram_map(hist, bucket, name=n) for n, (hist, bucket) in maps.items()}
-    tables.write_json(tables.stats_as_json(scalars, folded), out.path(name))
+    tables.write_json(tables.stats_as_json(scalars, folded), out.path(name), categories)
 
 
 def select_users(
@@ -111,13 +126,13 @@ def extract_features(
     top = out.read(spark, "top_users")
     reviews = out.read(spark, "reviews", schemas.REVIEWS, categories)
     items = features.latest_items(out.read(spark, "items", ITEM_LINES, categories))
-    out.write(features.top_user_reviews(reviews, top, items), "top_user_reviews")
+    out.write(features.top_user_reviews(reviews, top, items), "top_user_reviews", categories=categories)
     kept = out.read(spark, "top_user_reviews", schemas.TOP_USER_REVIEWS, categories)
-    out.write(features.user_features(kept, top), "user_features")
-    out.write(features.item_features(kept, items), "item_features")
+    out.write(features.user_features(kept, top), "user_features", categories=categories)
+    out.write(features.item_features(kept, items), "item_features", categories=categories)
     ratings, helpful = features.top_user_histograms(kept)
     maps = {"rating_hist": (ratings, "rating"), "helpful_hist": (helpful, "helpful")}
-    _write_stats(out, "top_user_stats", features.top_user_stats(kept), maps)
+    _write_stats(out, "top_user_stats", features.top_user_stats(kept), maps, categories)
 
 
 def create_sequences(
@@ -134,7 +149,8 @@ def create_sequences(
     expected = dims.category_dim(spark, names).where(F.col("category").isin(*names))
     missing = dims.missing_categories(expected, reviews, per_category, per_item)
     lacking = {row["category"] for row in missing.collect()}
-    present = [n for n in names if n not in lacking]
+    # When nothing was selected, the empty sample table has the columns of all categories.
+    present = [n for n in names if n not in lacking] or names
 
     static = features.static_user_features(
         dims.with_category_index(tables.only_categories(per_category, present), present)

@@ -15,20 +15,46 @@ def write_table(
     path: str,
     partition_by: tuple[str, ...] = ("category",),
     max_records_per_file: int = MAX_RECORDS_PER_FILE,
+    categories: list[str] | None = None,
 ) -> None:
-    """Write a stage table; only the partitions that ``df`` has rows for are replaced.
+    """Replace a stage table, or only the partitions of some ``categories`` of it.
 
-    The rebalance hint evens out file sizes: small categories end up in one file
-    each, and adaptive execution splits a large one over many tasks.
+    A named category without rows loses its old partition, too. The rebalance hint
+    evens out file sizes: small categories end up in one file each, and adaptive
+    execution splits a large one over many tasks.
     """
-    (
+    before = _files(df.sparkSession, path, categories or [])
+    writer = (
         df.hint("rebalance", *[F.col(c) for c in partition_by])
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if categories is None else "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(*partition_by)
-        .parquet(path)
     )
+    writer.parquet(path)
+    _drop_unchanged(df.sparkSession, before)
+
+
+def _files(spark: SparkSession, path: str, categories: list[str], key: str = "category") -> dict[str, set[str]]:
+    """The files below the partition folder of each category that has one."""
+    jvm, found = spark._jvm, {}
+    for name in categories:
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"{key}={escaped}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            found[folder.toString()] = {status.getPath().getName() for status in fs.listStatus(folder)}
+    return found
+
+
+def _drop_unchanged(spark: SparkSession, before: dict[str, set[str]]) -> None:
+    """Remove partition folders that a write has left as they were: it had no rows for them."""
+    jvm = spark._jvm
+    for name, files in before.items():
+        folder = jvm.org.apache.hadoop.fs.Path(name)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(folder) and {status.getPath().getName() for status in fs.listStatus(folder)} == files:
+            fs.delete(folder, True)
 
 
 def write_by_user_bucket(df: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
@@ -122,5 +148,18 @@ def stats_as_json(scalars: DataFrame, maps: dict[str, DataFrame], key: str = "ca
     return joined.select(key, F.to_json(F.struct(*names)).alias("stats"))
 
 
-def write_json(stats: DataFrame, path: str) -> None:
-    stats.select(F.col("stats").alias("value")).write.mode("overwrite").text(path)
+def write_json(
+    stats: DataFrame, path: str, categories: list[str] | None = None, key: str = "category"
+) -> None:
+    """One line of JSON per key, in a folder per key; ``categories`` replaces only theirs."""
+    lines = stats.select(key, F.col("stats").alias("value"))
+    before = _files(stats.sparkSession, path, categories or [], key)
+    mode = "static" if categories is None else "dynamic"
+    writer = lines.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(key).text(path)
+    _drop_unchanged(stats.sparkSession, before)
+
+
+def read_json(spark: SparkSession, path: str, key: str = "category") -> DataFrame:
+    """(key, stats) of all keys."""
+    return spark.read.schema(f"value string, {key} string").text(path).select(key, F.col("value").alias("stats"))

@@ -124,8 +124,24 @@ def test_sink_replaces_only_its_categories(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = "category string, v int"
     tables.write_table(spark.createDataFrame([("a", 1), ("b", 2)], schema), path)
-    tables.write_table(spark.createDataFrame([("b", 3)], schema), path)
+    tables.write_table(spark.createDataFrame([("b", 3)], schema), path, categories=["b", "z"])
     assert as_set(tables.read_table(spark, path), "category", "v") == {("a", 1), ("b", 3)}
     one = tables.read_table(spark, path, categories=["b"])
     assert rows(one, "v") == [(3,)]
     assert "PartitionFilters: [" in one._jdf.queryExecution().executedPlan().toString()
+    tables.write_table(spark.createDataFrame([("a", 4)], schema), path, categories=["a", "b"])
+    assert as_set(tables.read_table(spark, path), "category", "v") == {("a", 4)}
+    tables.write_table(spark.createDataFrame([("c d/e", 5)], schema), path)
+    assert as_set(tables.read_table(spark, path), "category", "v") == {("c d/e", 5)}
+    tables.write_table(spark.createDataFrame([], schema), path, categories=["c d/e"])
+    assert tables.read_table(spark, path, spark.createDataFrame([], schema).schema).count() == 0
+
+
+def test_statistics_of_other_categories_stay(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "category string, stats string"
+    tables.write_json(spark.createDataFrame([("a", "{1}"), ("b", "{2}")], schema), path)
+    tables.write_json(spark.createDataFrame([("a", "{3}")], schema), path, ["a", "b"])
+    assert as_set(tables.read_json(spark, path)) == {("a", "{3}")}
+    tables.write_json(spark.createDataFrame([("c", "{4}")], schema), path, ["c"])
+    assert as_set(tables.read_json(spark, path)) == {("a", "{3}"), ("c", "{4}")}

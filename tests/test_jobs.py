@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketline import config
 from basketline.operators import learning
 from basketline.plans import stages, training
+from basketline.sources import tables
 from basketline.streaming import running_counts
 from tests.helpers import as_set, brute_force_samples, rows, same
 
@@ -67,7 +68,7 @@ def test_all_stages_from_raw_lines_to_samples(spark, tmp_path):
         for name, value in expected[(row["user_id"], row["prefix_length"])].items():
             assert same(row[name], value), name
         assert row["total_purchases"] == totals[row["user_id"]]
-    stats = [json.loads(t) for (t,) in rows(spark.read.text(out.path("review_stats")))]
+    stats = [json.loads(t) for (t,) in rows(tables.read_json(spark, out.path("review_stats")), "stats")]
     assert {s["category"]: s["n_reviews"] for s in stats} == dict.fromkeys(NAMES[:3], 400)
     assert all(sum(s["rating_hist"].values()) == 400 for s in stats)
     assert as_set(out.read(spark, "baselines"), "baseline") == {
