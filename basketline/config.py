@@ -20,11 +20,11 @@ HELPFUL_CLIP_TOP_USERS = 50
 PURCHASES_CLIP = 50
 MAX_RECORDS_PER_FILE = 500_000
 
-# Row caps per model family: (train, val, test).
-ROW_CAPS = {
-    "logistic_regression": (1_000_000, 200_000, 200_000),
-    "gradient_boosting": (600_000, 100_000, 100_000),
-    "tree_models": (300_000, 100_000, 100_000),
+# Rows that a model is fitted to at most. Validation and test rows are never cut.
+FIT_ROWS = {
+    "logistic_regression": 1_000_000,
+    "gradient_boosting": 600_000,
+    "tree_models": 300_000,
 }
 TUNING_TRIALS = 10
 TUNING_ROWS = 200_000
@@ -35,12 +35,11 @@ ENSEMBLE_SIZE = 2
 HOT_KEY_ROWS = 1_000_000
 #: Rows in one piece of a hot user's history.
 HOT_CHUNK_ROWS = 250_000
-#: Pieces that all hot histories together are cut into at most; beyond it pieces grow,
-#: and a piece's sort spills, rather than a shuffle getting millions of partitions.
-HOT_MAX_CHUNKS = 20_000
 #: Keys that may be shipped to every executor as a broadcast table.
 MAX_BROADCAST_KEYS = 100_000
 #: Rows that exact order statistics may hold in one aggregation buffer.
 EXACT_RANK_ROWS = 200_000
+#: Training rows in one partition; the same on every cluster, as bagging depends on it.
+FIT_PARTITION_ROWS = 25_000
 #: Categories that may become columns of a wide table.
 MAX_CATEGORY_COLUMNS = 2_000

@@ -127,15 +127,19 @@ def accuracy(metrics, split="test", metric="acc"):
 
 
 def test_linear_model_beats_the_majority(spark, samples, tmp_path):
-    trained, rules = training.train_logistic_regression(samples, max_iter=30)
+    out = str(tmp_path / "runs")
+    trained, rules = training.train_logistic_regression(samples, max_iter=30, fit_rows=700, out=out)
+    whole = dict(rows(training.prepare(samples, 5).samples.groupBy("split").count()))
+    for split, n in whole.items():
+        assert accuracy(trained.metrics, split, "rows") == n
+    stored = spark.read.parquet(f"{out}/metrics")
+    assert as_set(stored) == as_set(trained.metrics)
+    assert json.loads(spark.read.parquet(f"{out}/settings").first()["settings"]) == {"fit_rows": 700, "max_iter": 30}
+    assert learning.labels_of(learning.load_model(f"{out}/models/logistic_regression/0")) == [1, 2, 3, 6]
     assert accuracy(trained.metrics) > 0.6 > rules.first()["majority_accuracy"]
     assert accuracy(trained.metrics, metric="top3") >= accuracy(trained.metrics)
     classes = {c for (c,) in rows(trained.report, "class")}
     assert {"1", "2", "3", "6", "accuracy", "macro avg", "weighted avg"} == classes
-    path = str(tmp_path / "model")
-    learning.save_model(trained.model, path)
-    loaded = learning.load_model(path)
-    assert learning.labels_of(loaded) == [1, 2, 3, 6]
 
 
 def test_svm_tree_and_forest(samples):
@@ -155,6 +159,38 @@ def test_boosting_search_and_ensemble(samples):
     assert report.where("class = '6'").count() == 1
 
 
+def test_only_rows_to_fit_are_bounded(samples):
+    data = training.prepare(samples, 100)
+    assert data.to_fit().count() == 100
+    assert data.samples.count() == samples.count()
+
+
+def test_boosting_stops_early_and_keeps_categories_nominal(spark, tmp_path):
+    """Membership in {1, 3, 5} is one split of a nominal feature, and three of an ordered one.
+
+    One target in ten is wrong, so nothing is gained once the rule is learned.
+    """
+    data = [
+        (f"u{i}", 3, i % 6 + 1, float(i % 7), 1 + (i + (i % 10 == 0)) % 2, f"c{(i + (i % 10 == 0)) % 2}")
+        for i in range(1200)
+    ]
+    df = spark.createDataFrame(
+        data,
+        "user_id string, prefix_length int, last_category_idx int, noise double, "
+        "target_category_idx int, target_category string",
+    )
+    columns = learning.feature_columns(df)
+    df = learning.as_doubles(df, columns)
+    stages = learning.boosting_preprocessing(columns)
+    model = learning.fit(df, stages, learning.boosted_trees(rounds=60, max_leaf_nodes=2, learning_rate=0.5))
+    assert all(n < 60 for n in learning.trees_grown(model))
+    right = learning.score(model, df, [learning.LABEL]).where(f"predicted = {learning.LABEL}")
+    assert right.count() == 1080
+    learning.save_model(model, str(tmp_path / "m"))
+    again = learning.load_model(str(tmp_path / "m"))
+    assert rows(learning.score(again, df, ["user_id"])) == rows(learning.score(model, df, ["user_id"]))
+
+
 def test_required_columns(samples):
     with pytest.raises(ValueError, match="target_category"):
         learning.checked_samples(samples.drop("target_category"))
