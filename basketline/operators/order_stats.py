@@ -11,6 +11,7 @@ The input is scanned a few times: pass a stored table or a cheap scan.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from basketline.config import EXACT_RANK_ROWS, RANDOM_SEED
 from basketline.functions.hashing import seeded_rank_hash
+from basketline.staging import stage
 
 SKETCH_ACCURACY = 10_000
+#: Equal parts that a sketch cuts the hashes into.
+GRID = 1_000
 
 
 def value_at_rank(
@@ -95,21 +99,56 @@ def seeded_subset(
 ) -> DataFrame:
     """``n`` rows without replacement: those whose seeded key hash is smallest.
 
-    All rows when there are no more than ``n``. The cut-off hash is found first,
-    so the subset itself is a plain filter, wherever the rows lie.
+    All rows when there are no more than ``n``. The cut-off hash is found first, from a
+    stored column of hashes, so the subset itself is a plain filter, wherever the rows lie.
     """
-    hashed = df.withColumn("_h", seeded_rank_hash(*[F.col(k) for k in keys], seed=seed))
-    n_rows = hashed.count()
-    if n_rows <= n:
-        return df
     if n <= 0:
         return df.where(F.lit(False))
-    cut = value_at_rank(hashed, "_h", n, n_rows, exact_rows)
-    cut = int(cut)
-    counts = hashed.agg(
-        F.count_if(F.col("_h") < cut).alias("under"), F.count_if(F.col("_h") == cut).alias("at")
-    ).first()
-    if counts["under"] + counts["at"] == n:
+    own = seeded_rank_hash(*[F.col(k) for k in keys], seed=seed)
+    hashes = stage(df.select(own.alias("h")), "row-hashes")
+    found = _smallest(hashes, n, exact_rows)
+    if found is None:
+        return df
+    cut, room, at = found
+    hashed = df.withColumn("_h", own)
+    if at <= room:
         return hashed.where(F.col("_h") <= cut).drop("_h")
-    tied = hashed.where(F.col("_h") == cut).orderBy(*keys).limit(n - counts["under"])
+    tied = hashed.where(F.col("_h") == cut).orderBy(*keys).limit(room)
     return hashed.where(F.col("_h") < cut).unionByName(tied).drop("_h")
+
+
+def _smallest(hashes: DataFrame, n: int, exact_rows: int) -> tuple[int, int, int] | None:
+    """The n-th smallest hash, how many rows with it belong to the n, and how many there are.
+
+    One pass sketches the hashes; the next counts what lies below the sketch's bracket and
+    brings what lies in it, a few thousandths, if that fits in a buffer. Only for larger
+    tables the bracket is sketched again. None when there are at most n rows.
+    """
+    h, below, low, high = F.col("h"), 0, -1, 1 << 60
+    while True:
+        inside = hashes.where((h >= low) & (h <= high))
+        grid = [k / GRID for k in range(GRID + 1)]
+        total, marks = inside.agg(F.count("h"), F.percentile_approx("h", grid, SKETCH_ACCURACY)).first()
+        if below + total <= n:
+            return None
+        place = (n - below) / total * GRID
+        step_low, step_high = marks[max(0, math.floor(place) - 1)], marks[min(GRID, math.ceil(place) + 1)]
+        if total <= exact_rows:
+            step_low, step_high = low, high
+        bracket = (h >= step_low) & (h <= step_high)
+        small = F.lit(total * 5 / GRID <= exact_rows)
+        values = F.sort_array(F.collect_list(F.when(bracket & small, h)))
+        under, kept, found = inside.agg(F.count_if(h < step_low), F.count_if(bracket), values).first()
+        wanted = n - below - under
+        if not 0 < wanted <= kept:
+            # The sketch was off; without a bracket the next round is exact or finer.
+            exact_rows = max(exact_rows, total)
+            continue
+        if found:
+            cut = found[wanted - 1]
+            return cut, wanted - bisect.bisect_left(found, cut), found.count(cut)
+        if (step_low, step_high) == (low, high) or step_low == step_high:
+            if step_low != step_high:
+                raise ValueError("one hash is shared by too many rows")
+            return step_low, wanted, kept
+        below, low, high = below + under, step_low, step_high

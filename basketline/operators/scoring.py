@@ -9,12 +9,12 @@ from basketline.config import (
     ENTROPY_EPSILON,
     EXACT_RANK_ROWS,
     IMPORTANCE_PERCENTILE,
-    MAX_CATEGORY_COLUMNS,
     MIN_DISTINCT_CATEGORIES,
     MIN_TOTAL_PURCHASES,
 )
 from basketline.functions import entropy
 from basketline.operators.order_stats import quantile
+from basketline.sources.categories import as_columns
 from basketline.staging import stage
 
 
@@ -34,8 +34,7 @@ def user_category_cells(counts: DataFrame) -> DataFrame:
 
 
 def _category_sums(categories: list[str]) -> list[Column]:
-    if len(categories) > MAX_CATEGORY_COLUMNS:
-        raise ValueError(f"more than {MAX_CATEGORY_COLUMNS} categories")
+    as_columns(categories)
     return [
         F.sum(F.when(F.col("category") == name, F.col("n")).otherwise(0)).alias(name)
         for name in categories

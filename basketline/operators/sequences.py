@@ -18,8 +18,13 @@ from basketline.config import (
     MIN_PREFIX_LENGTH,
     N_LATEST_CATEGORIES,
 )
-from basketline.operators.skew import cut_in_order, hot_keys, split_hot
-from basketline.sources.categories import category_index, with_category_index, with_category_name
+from basketline.operators.skew import cut_in_order, hot_keys, known_hot_keys, split_hot
+from basketline.sources.categories import (
+    as_columns,
+    category_index,
+    with_category_index,
+    with_category_name,
+)
 from basketline.sources.tables import with_review_defaults
 
 _VALUES = ["category_idx", "rating", "helpful_votes", "item_avg_rating", "verified_purchase"]
@@ -66,16 +71,21 @@ def sequence_samples(
     tie_break: list[str] | None = None,
     hot_user_rows: int = HOT_KEY_ROWS,
     chunk_rows: int = HOT_CHUNK_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Samples for every prefix of at least ``min_prefix`` purchases with a next one.
 
     ``static`` holds at most one row per user; users without one keep their samples
-    with null features.
+    with null features. ``sizes`` is a stored table with the ``total_purchases`` of each
+    ``user_id``; without it, the reviews are read once more to find very active users.
     """
     events = purchase_events(reviews, categories, tie_break)
     order = ["unixReviewTime", *_tie_columns(events, tie_break)]
-    index = category_index(categories) if category_counts else {}
-    hot = hot_keys(_timed(reviews), "user_id", hot_user_rows)
+    index = category_index(as_columns(categories)) if category_counts else {}
+    if sizes is None:
+        hot = hot_keys(_timed(reviews).select("user_id"), "user_id", hot_user_rows)
+    else:
+        hot = known_hot_keys(sizes, "user_id", "total_purchases", hot_user_rows)
     ordinary, heavy = split_hot(events, "user_id", hot)
 
     def finish(prefixes: DataFrame, features: DataFrame | None) -> DataFrame:

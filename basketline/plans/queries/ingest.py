@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from basketline import schemas
 from basketline.operators import counting, features
+from basketline.operators.sequences import sequence_samples
 from basketline.plans import driver_tables as tables
 from basketline.plans.registry import query
 from basketline.sources import categories, raw
 from basketline.sources import tables as stage_tables
-from basketline.staging import scratch_path
+from basketline.staging import scratch_path, stage
 from basketline.streaming import running_counts
 
 EV = tables.EVENT_REVIEWS_SQL
@@ -36,12 +37,13 @@ def _lines_by_category(spark: SparkSession, lines: DataFrame, label: str) -> str
     return path
 
 
-def write_event_lines(spark: SparkSession, sf_dir: str, cut: bool) -> str:
+def write_event_lines(spark: SparkSession, sf_dir: str, cut: bool, bad: bool = False) -> str:
     """``events`` as review lines.
 
     The field that carries the product, the votes and the time differs by event type;
     with ``cut``, signup lines of low value end early. Error events carry the product as a
-    number, and the number 0 is no product.
+    number, and the number 0 is no product. With ``bad``, some lines have no user, a rating
+    that is no number, or a time that is none or missing.
     """
     c, kind = F.col, F.col("event_type")
     k = F.get_json_object("props", "$.k")
@@ -71,6 +73,11 @@ def write_event_lines(spark: SparkSession, sf_dir: str, cut: bool) -> str:
     )
     rating = _field("rating", F.least(F.floor(c("value") / 100) + 1, F.lit(5)).cast("string"))
     user = _field("user_id", _quoted(c("user_id").cast("string")))
+    if bad:
+        n = c("event_id")
+        user = F.when(n % 11 == 0, F.lit('"user_id":null')).otherwise(user)
+        rating = F.when(n % 13 == 1, F.lit('"rating":"n/a"')).when(n % 13 == 2, F.lit('"rating":"NaN"')).otherwise(rating)
+        time = F.when(n % 17 == 3, F.lit('"timestamp":"soon"')).when(n % 17 == 4, F.lit('"timestamp":null')).otherwise(time)
     line = F.concat(F.lit("{"), F.concat_ws(",", user, product, helpful, time, verified, rating), F.lit("}"))
     if cut:
         line = F.when((kind == "signup") & (c("value") < 20), F.substring(line, 1, 25)).otherwise(line)
@@ -117,14 +124,43 @@ def ingest_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ingest_rejects",
     f"""SELECT event_type AS category, count(*) AS n_lines,
     count(*) FILTER (NOT ({NOT_CUT})) AS n_malformed,
-    count(*) FILTER (NOT ({NOT_CUT})) AS n_without_key
+    count(*) FILTER (NOT ({NOT_CUT}) OR event_id % 11 = 0) AS n_without_key,
+    count(*) FILTER ({NOT_CUT} AND event_id % 13 IN (1, 2)) AS n_bad_rating,
+    count(*) FILTER ({NOT_CUT} AND event_id % 17 IN (3, 4)) AS n_bad_time
     FROM events GROUP BY event_type""",
 )
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_event_lines(spark, sf_dir, cut=True)
+    path = write_event_lines(spark, sf_dir, cut=True, bad=True)
     return raw.count_rejects(read_events(spark, path, lenient=True), "user_id")
 
 
+BAD_SQL = f"""
+SELECT category, user_id, product_id,
+  CASE WHEN event_id % 17 NOT IN (3, 4) THEN "unixReviewTime" END AS "unixReviewTime",
+  CASE WHEN event_id % 13 NOT IN (1, 2) THEN rating END AS rating, helpful_votes, verified_purchase
+FROM ({INGESTED_SQL.replace("FROM events", ", event_id FROM events")}) WHERE event_id % 11 <> 0"""
+
+
+@query("ingest_bad", BAD_SQL)
+def ingest_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without a user are dropped; unreadable ratings and times become null."""
+    path = write_event_lines(spark, sf_dir, cut=False, bad=True)
+    return raw.clean_reviews(read_events(spark, path, lenient=True))
+
+
+@query(
+    "seq_untimed",
+    f"""WITH b AS ({BAD_SQL}), n AS (
+      SELECT user_id, count(*) AS n FROM b WHERE "unixReviewTime" IS NOT NULL GROUP BY user_id)
+    SELECT user_id, CAST(unnest(range(3, n)) AS INTEGER) AS prefix_length FROM n""",
+)
+def seq_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of histories from which reviews without a time are left out."""
+    reviews = stage(ingest_bad(spark, sf_dir), "bad-reviews")
+    names = categories.categories_in(reviews)
+    return sequence_samples(reviews, names, category_counts=False).select("user_id", "prefix_length")
+
+
 @query(
     "coerce_product_id",
     f"""SELECT product_id, count(*) AS n FROM ({INGESTED_SQL}) GROUP BY product_id""",
@@ -168,7 +204,7 @@ def file_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Items --------------------------------------------------------------------------
 
 
-def ingest_part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_part_items(spark: SparkSession, sf_dir: str, lenient: bool = True) -> DataFrame:
     """``part`` written as loose item lines and read back."""
     c = F.col
     key = F.when(
@@ -198,13 +234,25 @@ def ingest_part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, parts.select(c("p_type").alias("category"), line.alias("value")), "item-lines"
     )
     folder = raw.category_of_file(raw.FOLDER_PER_CATEGORY)
-    return raw.clean_items(raw.read_item_lines(spark, path, True, folder))
+    return raw.clean_items(raw.read_item_lines(spark, path, lenient, folder))
 
 
 ITEM_LABELS_SQL = """CASE WHEN p_size % 3 = 0 THEN p_type || '|' || p_brand
   WHEN p_size % 3 = 1 THEN p_type ELSE 'None|' || p_brand END"""
 
 
+@query(
+    "ingest_items_strict",
+    """SELECT p_type AS category, CAST(p_partkey AS VARCHAR) AS product_id,
+    CAST(p_size AS DOUBLE) AS item_avg_rating,
+    CASE WHEN p_size >= 30 THEN p_retailprice END AS price FROM part""",
+)
+def ingest_items_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All item lines are well formed; one that is not would fail the job."""
+    items = ingest_part_items(spark, sf_dir, lenient=False)
+    return items.select("category", "product_id", "item_avg_rating", "price")
+
+
 @query(
     "item_categories_flat",
     f"""SELECT p_type AS category, CAST(p_partkey AS VARCHAR) AS product_id,
@@ -357,14 +405,14 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EV} SELECT category, user_id, count(*) AS num_purchases FROM ev GROUP BY ALL",
 )
 def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two arrivals of files, two runs; the second run reads the new files only."""
+    """Two arrivals of files, two runs with a compaction between them; the second run
+    reads the new files only."""
     source, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "running-counts")
     checkpoint = scratch_path(spark, "stream")
     reviews = tables.event_reviews(spark, sf_dir).select("category", "user_id", "verified_purchase")
     for verified in (True, False):
         part = reviews.where(F.col("verified_purchase") == F.lit(verified))
         part.write.mode("append").json(source)
-        running_counts.update_user_counts(
-            spark, source, reviews.schema, sink, checkpoint
-        ).awaitTermination()
+        running_counts.update_user_counts(spark, source, reviews.schema, sink, checkpoint).awaitTermination()
+        running_counts.compact_user_counts(spark, sink)
     return running_counts.latest_user_counts(spark, sink)

@@ -10,6 +10,7 @@ from basketline.operators.order_stats import seeded_subset
 from basketline.plans import driver_tables as tables
 from basketline.plans.queries.sequences import SAMPLES_SQL, event_samples
 from basketline.plans.registry import query
+from basketline.plans.training import TUNING_SEED
 from basketline.staging import stage
 
 #: ``sp``: samples ``s`` with their bucket and split. 204 + 25 + 27 of 256 buckets.
@@ -96,11 +97,11 @@ def split_cap_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SAMPLES_SQL}
     SELECT user_id, prefix_length, target_category_idx FROM s
     QUALIFY row_number() OVER (ORDER BY
-      CAST('0x' || substr(md5('165|' || user_id || '|' || CAST(prefix_length AS VARCHAR)), 1, 13)
+      CAST('0x' || substr(md5('11|' || user_id || '|' || CAST(prefix_length AS VARCHAR)), 1, 13)
         AS BIGINT), user_id, prefix_length) <= 2000""",
 )
 def tuning_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded subset on which hyperparameters are tried."""
     samples = _stored_samples(spark, sf_dir)
-    subset = seeded_subset(samples, 2000, splitting.SAMPLE_KEY, seed=165, exact_rows=1_000)
+    subset = seeded_subset(samples, 2000, splitting.SAMPLE_KEY, seed=TUNING_SEED, exact_rows=1_000)
     return subset.select("user_id", "prefix_length", "target_category_idx")

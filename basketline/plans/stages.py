@@ -19,6 +19,7 @@ from basketline.operators import baselines, counting, features, scoring
 from basketline.operators.sequences import sequence_samples
 from basketline.sources import categories as dims
 from basketline.sources import raw, tables
+from basketline.staging import stage
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ def extract_features(
     """Reviews, user features and item features of the selected users."""
     top = out.read(spark, "top_users")
     reviews = out.read(spark, "reviews", schemas.REVIEWS, categories)
-    items = features.latest_items(out.read(spark, "items", ITEM_LINES, categories))
+    items = stage(features.latest_items(out.read(spark, "items", ITEM_LINES, categories)), "latest-items")
     out.write(features.top_user_reviews(reviews, top, items), "top_user_reviews", categories=categories)
     kept = out.read(spark, "top_user_reviews", schemas.TOP_USER_REVIEWS, categories)
     out.write(features.user_features(kept, top), "user_features", categories=categories)
@@ -155,8 +156,9 @@ def create_sequences(
     static = features.static_user_features(
         dims.with_category_index(tables.only_categories(per_category, present), present)
     )
+    sizes = out.read(spark, "top_users").select("user_id", "total_purchases")
     samples = sequence_samples(
-        tables.only_categories(reviews, present), present, static, **options
+        tables.only_categories(reviews, present), present, static, sizes=sizes, **options
     )
     out.write(samples, "sequence_samples", ())
     stored = load_samples(spark, out)

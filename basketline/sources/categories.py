@@ -5,45 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.config import MAX_CATEGORY_COLUMNS
+from basketline.config import MAX_BROADCAST_KEYS, MAX_CATEGORY_COLUMNS
 
 UNKNOWN = "Unknown"
 
 
 def read_category_list(spark: SparkSession, path: str) -> list[str]:
-    """Names from a text file: trimmed, blanks dropped, file order kept.
-
-    The list becomes columns of wide tables, so it must be small; that is checked.
-    """
+    """Names from a text file: trimmed, blanks dropped, file order kept."""
     name = F.regexp_replace("value", r"^\s+|\s+$", "")
     lines = spark.read.text(path).select(
         F.monotonically_increasing_id().alias("position"), name.alias("name")
     )
-    rows = (
-        lines.where(F.col("name") != "")
-        .orderBy("position")
-        .limit(MAX_CATEGORY_COLUMNS + 1)
-        .collect()
-    )
-    return _checked([r["name"] for r in rows])
+    return [r["name"] for r in lines.where(F.col("name") != "").orderBy("position").collect()]
 
 
 def categories_in(df: DataFrame, column: str = "category") -> list[str]:
     """Distinct names found in a table, in alphabetical order."""
-    rows = (
-        df.select(column)
-        .where(F.col(column).isNotNull())
-        .distinct()
-        .orderBy(column)
-        .limit(MAX_CATEGORY_COLUMNS + 1)
-        .collect()
-    )
-    return _checked([r[0] for r in rows])
+    names = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return [r[0] for r in names.orderBy(column).collect()]
 
 
-def _checked(names: list[str]) -> list[str]:
+def as_columns(names: list[str]) -> list[str]:
+    """The names, where each becomes a column: only then is their number limited."""
     if len(names) > MAX_CATEGORY_COLUMNS:
-        raise ValueError(f"more than {MAX_CATEGORY_COLUMNS} categories")
+        raise ValueError(f"more than {MAX_CATEGORY_COLUMNS} categories cannot be columns")
     return names
 
 
@@ -54,9 +39,10 @@ def category_index(names: list[str]) -> dict[str, int]:
 
 
 def category_dim(spark: SparkSession, names: list[str]) -> DataFrame:
-    """The dimension as a table to broadcast. Its size is the checked list's length."""
-    rows = list(category_index(_checked(names)).items())
-    return F.broadcast(spark.createDataFrame(rows, "category string, category_idx int"))
+    """The dimension as a table, to broadcast up to a checked size."""
+    rows = list(category_index(names).items())
+    dim = spark.createDataFrame(rows, "category string, category_idx int")
+    return F.broadcast(dim) if len(rows) <= MAX_BROADCAST_KEYS else dim
 
 
 def with_category_index(df: DataFrame, names: list[str]) -> DataFrame:

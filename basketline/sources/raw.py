@@ -81,13 +81,26 @@ def _well_formed(raw: DataFrame) -> DataFrame:
     return raw.where(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT)
 
 
+def _time_field() -> Column:
+    c = F.col
+    return coerce.first_truthy(c("timestamp"), c("unixReviewTime"), c("unix_review_time"), c("unix_time"))
+
+
 def count_rejects(raw: DataFrame, probe: str) -> DataFrame:
-    """Lines, malformed lines and lines whose ``probe`` field is missing, per category."""
-    return raw.groupBy(F.col("source_category").alias("category")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col(schemas.CORRUPT).isNotNull()).alias("n_malformed"),
-        F.count_if(F.col(probe).isNull()).alias("n_without_key"),
-    )
+    """Lines, malformed lines and lines whose ``probe`` field is missing, per category; for
+    reviews also well-formed lines whose rating is unreadable, and whose time is or is missing."""
+    counts = {
+        "n_lines": F.count(F.lit(1)),
+        "n_malformed": F.count_if(F.col(schemas.CORRUPT).isNotNull()),
+        "n_without_key": F.count_if(F.col(probe).isNull()),
+    }
+    if "unixReviewTime" in raw.columns:
+        whole = F.col(schemas.CORRUPT).isNull()
+        rating = F.col("rating").isNotNull() & coerce.to_double(F.col("rating")).isNull()
+        counts["n_bad_rating"] = F.count_if(whole & rating)
+        counts["n_bad_time"] = F.count_if(whole & coerce.to_whole(_time_field(), "long").isNull())
+    category = F.col("source_category").alias("category")
+    return raw.groupBy(category).agg(*[value.alias(name) for name, value in counts.items()])
 
 
 def clean_reviews(
@@ -98,9 +111,7 @@ def clean_reviews(
     """Typed reviews: malformed lines and rows without a user are dropped."""
     c = F.col
     product = coerce.first_truthy(c("asin"), c("product_id"), c("item_id"), c("id"))
-    time = coerce.first_truthy(
-        c("timestamp"), c("unixReviewTime"), c("unix_review_time"), c("unix_time")
-    )
+    time = _time_field()
     verified = coerce.is_truthy(c("verified_purchase")) | coerce.is_truthy(c("verified"))
     return (
         _well_formed(raw)

@@ -72,6 +72,11 @@ def write_by_user_bucket(df: DataFrame, path: str, buckets: int = USER_BUCKETS)
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_table(
     spark: SparkSession,
     path: str,

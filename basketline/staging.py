@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """Shared scratch folder, from ``spark.checkpoint.dir``.
 
-    A private temporary folder is only set up for a local master, where the
-    driver and the executors are one process.
+    Where it is unset, as in a trial on one machine, a folder of the session's own is made,
+    but only for a local master, whose tasks run in the driver's process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketline-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")

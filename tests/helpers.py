@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 
 def rows(df, *columns):
@@ -70,3 +71,14 @@ def brute_force_samples(events, names, n_latest=5, min_prefix=3, step=1):
                 sample[f"prefix_cat_count_{name}"] = counts[i]
             out[(user, length)] = sample
     return out
+
+
+def jobs_of(spark, action) -> int:
+    """Spark jobs that ``action`` runs."""
+    context, group = spark.sparkContext, f"jobs-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "counted")
+    try:
+        action()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)

@@ -95,11 +95,17 @@ def test_incremental_counts_take_each_file_once(spark, tmp_path):
     assert run() == {("a", "u", 2), ("b", "v", 1)}
     arrive(("a", "u"), ("c", "w"))
     assert run() == {("a", "u", 3), ("b", "v", 1), ("c", "w", 1)}
-    compacted = str(tmp_path / "compact")
-    running_counts.compact_user_counts(spark, sink, compacted)
-    assert as_set(running_counts.latest_user_counts(spark, compacted)) == {
-        ("a", "u", 3), ("b", "v", 1), ("c", "w", 1),
-    }
+    want = {("a", "u", 3), ("b", "v", 1), ("c", "w", 1)}
+    running_counts.compact_user_counts(spark, sink)
+    running_counts.compact_user_counts(spark, sink)
+    assert as_set(running_counts.latest_user_counts(spark, sink)) == want
+    # The last batch runs again after the compaction: it writes what it changed, and no more.
+    last = spark.read.parquet(f"{sink}/changes").agg(F.max("batch_id")).first()[0]
+    changed = spark.createDataFrame([("a", "u", 3), ("c", "w", 1)], "category string, user_id string, num_purchases long")
+    changed.write.mode("overwrite").parquet(f"{sink}/changes/batch_id={last}")
+    assert as_set(running_counts.latest_user_counts(spark, sink)) == want
+    arrive(("b", "v"))
+    assert run() == {("a", "u", 3), ("b", "v", 2), ("c", "w", 1)}
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketline.functions.hashing import seeded_rank_hash
 from basketline.operators.order_stats import quantile, seeded_subset, value_at_rank
+from tests.helpers import jobs_of
 
 CASES = {
     "spread": [random.Random(1).random() for _ in range(5000)],
@@ -49,3 +51,24 @@ def test_seeded_subset_with_copies(spark):
     df = spark.createDataFrame([(i if i % 3 else 0,) for i in range(3000)], "k long")
     for n in (10, 400, 1500, 2999):
         assert seeded_subset(df, n, ["k"], exact_rows=20).count() == n
+
+
+def test_a_subset_takes_few_jobs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).select(
+        (F.col("id") % 300).cast("string").alias("user_id"), F.col("id").alias("prefix_length")
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    keys = ["user_id", "prefix_length"]
+    assert jobs_of(spark, lambda: seeded_subset(df, 3_000, keys)) <= 6
+    own = seeded_rank_hash(*[F.col(k) for k in keys])
+    want = {r[0] for r in df.orderBy(own, *keys).limit(3_000).select("prefix_length").collect()}
+    for exact_rows in (50, 500, 10**6):
+        got = [r[0] for r in seeded_subset(df, 3_000, keys, exact_rows=exact_rows).select("prefix_length").collect()]
+        assert len(got) == 3_000 and set(got) == want
+
+
+def test_a_subset_of_equal_keys(spark):
+    df = spark.range(500).select(F.lit("u").alias("user_id"), (F.col("id") % 2).alias("prefix_length"))
+    for n in (0, 1, 249, 251, 499, 500, 600):
+        assert seeded_subset(df, n, ["user_id", "prefix_length"], exact_rows=10).count() == min(n, 500)

@@ -84,7 +84,7 @@ def test_lenient_drops_and_counts_malformed_lines(spark, tmp_path):
     path = write(tmp_path, "Books.jsonl.gz", BROKEN)
     lines = raw.read_review_lines(spark, path)
     assert rows(raw.clean_reviews(lines), "user_id") == [("a",), ("c",)]
-    assert rows(raw.count_rejects(lines, "user_id")) == [("Books", 3, 1, 1)]
+    assert rows(raw.count_rejects(lines, "user_id")) == [("Books", 3, 1, 1, 0, 2)]
 
 
 def test_strict_fails_on_a_malformed_line(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketline.operators.sequences import sequence_samples
-from tests.helpers import brute_force_samples, physical_plan, rows, same
+from tests.helpers import as_set, brute_force_samples, jobs_of, physical_plan, rows, same
 
 NAMES = ["a", "b", "Unknown", "c"]
 SCHEMA = (
@@ -154,3 +154,31 @@ def test_all_windows_share_one_shuffle(spark, tiny_dir):
     plan = physical_plan(event_samples(spark, tiny_dir, category_counts=True))
     assert plan.count("hashpartitioning(user_id") == 1
     assert "SortMergeJoin" not in plan
+
+
+def test_many_categories_need_no_columns(spark):
+    names = [f"c{i:04d}" for i in range(3_000)]
+    reviews = spark.createDataFrame(
+        [(f"u{i % 7}", f"p{i}", names[i * 37 % 3_000], i) for i in range(400)],
+        "user_id string, product_id string, category string, unixReviewTime long",
+    )
+    samples = sequence_samples(reviews, names, category_counts=False)
+    by_name = {n: i for i, n in enumerate(names, 1)}
+    assert samples.count() == sum(max(0, 400 // 7 + (u < 400 % 7) - 3) for u in range(7))
+    for row in samples.select("target_category", "target_category_idx").collect():
+        assert row.target_category_idx == by_name[row.target_category]
+    with pytest.raises(ValueError, match="columns"):
+        sequence_samples(reviews, names)
+
+
+def test_known_sizes_spare_a_pass(spark, tmp_path):
+    rows_ = [(f"u{i % 5}", f"p{i}", f"c{i % 3}", i) for i in range(300)]
+    reviews = spark.createDataFrame(rows_, "user_id string, product_id string, category string, unixReviewTime long")
+    sizes_path = str(tmp_path / "sizes")
+    reviews.groupBy("user_id").count().withColumnRenamed("count", "total_purchases").write.parquet(sizes_path)
+    sizes = spark.read.parquet(sizes_path)
+    names = ["c0", "c1", "c2"]
+    assert jobs_of(spark, lambda: sequence_samples(reviews, names, sizes=sizes)) <= 2
+    plain = as_set(sequence_samples(reviews, names))
+    assert as_set(sequence_samples(reviews, names, sizes=sizes)) == plain
+    assert as_set(sequence_samples(reviews, names, sizes=sizes, hot_user_rows=20, chunk_rows=15)) == plain
