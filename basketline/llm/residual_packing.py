@@ -35,8 +35,9 @@ SLACK = 16
 #: Bins that a task passes on at most, and tasks whose bins meet in one.
 CARRY = 512
 FAN_IN = 16
-#: Words that a worker keeps the ids of.
+#: Words that a worker keeps the ids of, and characters of such a word.
 CACHE_SIZE = 800_000
+CACHED_CHARS = 40
 #: The tokenizer's splitting pattern, for lower-case texts that split plainly.
 PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
@@ -94,10 +95,12 @@ class _Ids:
         self.words: dict[str, bytes] = kept(f"word ids {path}", dict)
 
     def learn(self, word: str) -> bytes:
-        if len(self.words) >= CACHE_SIZE:
-            self.words.clear()
         ids = [i for piece in PRE_TOKEN.findall(word) for i in self.piece(piece)]
-        self.words[word] = data = np.array(ids, dtype="<u4").tobytes()
+        data = np.array(ids, dtype="<u4").tobytes()
+        if len(word) <= CACHED_CHARS:
+            if len(self.words) >= CACHE_SIZE:
+                self.words.clear()
+            self.words[word] = data
         return data
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:

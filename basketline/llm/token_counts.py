@@ -31,8 +31,9 @@ from basketline.llm.worker import kept, piece_encoder, splits_plainly, tokenizer
 TABLE_SIZE = 32_768
 TASK_SIZE = 4_096
 TASK_COUNTERS = 1_000_000
-#: Entries of a worker's caches; a full cache starts again.
+#: Entries of a worker's caches, which start again when full, and characters of an entry.
 CACHE_SIZE = 600_000
+CACHED_CHARS = 40
 
 #: The tokenizer's splitting pattern, for texts that split plainly (see ``worker``).
 PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -79,19 +80,24 @@ def token_count(docs: DataFrame, tokenizer_file: str, text: str = "text"):
         pieces_seen: dict[str, int] = kept(f"piece lengths {tokenizer_file}", dict)
         words_seen: dict[str, int] = kept(f"word lengths {tokenizer_file}", dict)
 
-        def learn(words: set[str]) -> None:
-            """Put the lengths of new words, as they follow a space or not, in the cache."""
-            split = {word: PRE_TOKEN.findall(word) for word in words}
-            new = {p for ps in split.values() for p in ps if p not in frequent and p not in pieces_seen}
-            if len(pieces_seen) + len(new) > CACHE_SIZE:
-                pieces_seen.clear()
-                new = {p for ps in split.values() for p in ps if p not in frequent}
-            for piece in new:
-                pieces_seen[piece] = len(encode(piece))
-            if len(words_seen) + len(words) > CACHE_SIZE:
-                words_seen.clear()
-            for word, ps in split.items():
-                words_seen[word] = sum(frequent[p] if p in frequent else pieces_seen[p] for p in ps)
+        def piece_length(piece: str) -> int:
+            if (n := frequent.get(piece) or pieces_seen.get(piece)) is not None:
+                return n
+            n = len(encode(piece))
+            if len(piece) <= CACHED_CHARS:
+                if len(pieces_seen) >= CACHE_SIZE:
+                    pieces_seen.clear()
+                pieces_seen[piece] = n
+            return n
+
+        def word_length(word: str) -> int:
+            n = sum(map(piece_length, PRE_TOKEN.findall(word)))
+            if len(word) <= CACHED_CHARS:
+                if len(words_seen) >= CACHE_SIZE:
+                    words_seen.clear()
+                    words_seen[""] = line_end
+                words_seen[word] = n
+            return n
 
         def of(value: str) -> int:
             if not value:
@@ -99,19 +105,13 @@ def token_count(docs: DataFrame, tokenizer_file: str, text: str = "text"):
             if not splits_plainly(value):
                 return len(library.encode_batch_fast([value], add_special_tokens=False)[0].ids)
             if ODD_SPACE.search(value):
-                words = PRE_TOKEN.findall(value)
-            else:
-                words = value.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
-                # An empty word now stands for a line end, which is a pre-token of its own.
-            found = list(map(words_seen.get, words))
-            if None in found:
-                learn({w for w, n in zip(words, found, strict=True) if n is None})
-                found = list(map(words_seen.get, words))
-                if None in found:  # the cache started again
-                    return sum(len(e.ids) for e in library.encode_batch_fast([value], add_special_tokens=False))
-            return sum(found)
-
-        words_seen[""] = len(library.encode_batch_fast(["\n"], add_special_tokens=False)[0].ids)
+                return sum(map(piece_length, PRE_TOKEN.findall(value)))
+            # An empty word stands for a line end, which is a pre-token of its own.
+            words = value.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
+            return sum([known(word) or word_length(word) for word in words])
+
+        known = words_seen.get
+        line_end = words_seen[""] = piece_length("\n")
         for batch in batches:
             yield pd.Series([of(v) for v in batch], dtype="int64")
 

@@ -47,8 +47,9 @@ TOKEN_RATIO = 25.0
 #: Windows of tokens to fit the field to: tokens around a feature, length, number per text.
 MARGIN, WINDOW, WINDOWS = 6, 48, 12
 STEPS, RATE, PENALTY = 120, 0.15, 0.02
-#: Words that a worker keeps the potentials of.
+#: Words that a worker keeps the potentials of, and letters of such a word.
 CACHE_SIZE = 800_000
+CACHED_CHARS = 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<start: int, end: int, probability: double>>"
@@ -125,11 +126,13 @@ class _Potentials(dict):
         self.field = field
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_SIZE:
-            self.clear()
         weights = self.field.weights
         own = [weights[f] for f in features(word) if f in weights]
-        self[word] = value = self.field.bias + sum(own) if own else None
+        value = self.field.bias + sum(own) if own else None
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -10,8 +10,13 @@ from collections.abc import Callable
 from typing import Any
 
 #: Characters whose class is the same in every Unicode version and regular expression
-#: library: ASCII, and precomposed Latin letters without the one that grows in lower case.
-_OTHER = re.compile("[^\t\n\r -~À-įı-ɏ]")
+#: library, and whose lower case is one character wherever it stands: ASCII, precomposed
+#: Latin, Greek and Cyrillic letters, kana, Han and Hangul, and common punctuation.
+_OTHER = re.compile(
+    "[^\t\n\r -~\u00c0-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c9\u0400-\u0481\u048a-\u052f"
+    "\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u3001\u3002\u300c\u300d\u3041-\u3096\u30a1-\u30fa\u30fc"
+    "\u4e00-\u9fa5\uac00-\ud7a3\uff01\uff0c\uff1f]"
+)
 
 
 def splits_plainly(text: str) -> bool:
@@ -47,6 +52,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Longer pieces are left to the library, whose merging stays fast for them.
+LONG_PIECE = 200
 #: Stands behind the last byte of a pre-token where the vocabulary marks word ends; no UTF-8 has it.
 _END = b"\xff"
 
@@ -76,6 +83,12 @@ def piece_encoder(path: str) -> Callable[[str], list[int]]:
                 ranks[bytes(letters[c] for c in word) + (_END if last else b"")] = i
         encoding = tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         encode, end = encoding._core_bpe.encode_single_piece, _END if suffix else b""
-        return lambda piece: encode(piece.encode() + end)
+
+        def ids(piece: str) -> list[int]:
+            if len(piece) > LONG_PIECE:
+                return library.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+            return encode(piece.encode() + end)
+
+        return ids
 
     return kept(f"pieces {path}", load)

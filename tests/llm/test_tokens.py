@@ -17,7 +17,8 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 TRICKY = [
     "a  b", "a\n\nb", "a \nb", "\n", " ", "  ", "a ", "a\n", " a", "\na", "don't I'll we've _x__ 12a", "x\ty",
     "é È ñ", "日本 語", "<|endoftext|> a", "a²b", "İx", "a\r\nb", "__a__ _", "'s 't", "x's 'S", "a\n b\n\n c", "",
-    "STRASSE ß ŉ", "á é", "1234 567", "a.b,c!? --- ***", "a\x0bb\x0cc\x1cd\x85e\xa0f",
+    "STRASSE ß ŉ", "Привет, Мир! ёлка ЁЖ 3-й", "ΟΔΟΣ σας ΑΒΓ", "日本語のテキスト、です。「はい」", "한국어 문장 한국어",
+    "“quoted” – it’s… ok—so", "漢字一二三123", "x" * 5_000 + " " + "ab1!" * 3_000, "Ω²½Ⅷ ๓", "word" * 60 + " don't", "á é", "1234 567", "a.b,c!? --- ***", "a\x0bb\x0cc\x1cd\x85e\xa0f",
 ]
 
 
@@ -111,3 +112,16 @@ def test_best_fit_takes_the_fullest_bin_with_room():
     assert sorted(sorted(b) for b in bins) == [[0, 3], [1, 2]]
     assert residual_packing.best_fit([], 10) == []
     assert sorted(map(sorted, residual_packing.best_fit([10, 10, 1], 10))) == [[0], [1], [2]]
+
+
+def test_every_plain_character_splits_as_in_the_library():
+    count, word = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORD)
+    chars = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and worker.splits_plainly(c)]
+    assert len(chars) > 30_000
+    for c in chars:
+        text = f"a{c}b {c}{c} 1{c}2 .{c}."
+        assert [text[a:b] for _, (a, b) in count.pre_tokenizer.pre_tokenize_str(text)] == token_counts.PRE_TOKEN.findall(text)
+        normal = word.normalizer.normalize_str(text)
+        assert normal.split() == text.lower().split()
+        pieces = [normal[a:b] for _, (a, b) in word.pre_tokenizer.pre_tokenize_str(normal)]
+        assert pieces == [p for w in text.lower().split() for p in residual_packing.PRE_TOKEN.findall(w)]
