@@ -144,11 +144,11 @@ def score(space: Space | None, docs: DataFrame, text: str = "text") -> Column:
     """A column with the votes for label 1, from 0 to 1."""
     if space is None:
         return F.lit(0.5)
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(space))
 
     @F.pandas_udf("double")
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        s = shared.value
+        s = Space(**shared.value)
         column = np.full(CLASSES**3, len(s.terms))
         column[s.terms] = np.arange(len(s.terms))
         nearest = min(NEIGHBOURS, len(s.labels))

@@ -265,7 +265,7 @@ def _document_parts(shared, text: Column) -> Column:
 
     @F.pandas_udf(f"largest double, summed double, n_words long, spans {SPANS}")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        field = shared.value
+        field = Field(**shared.value)
         chain = Chain(field)
         model, potentials = kept("toxic potentials", lambda: [None, None])
         if model != field:
@@ -331,7 +331,7 @@ def learn(
     if not windows:
         return None
     field = _fit_field(windows, sorted(ratios))
-    shared = sample.sparkSession.sparkContext.broadcast(field)
+    shared = sample.sparkSession.sparkContext.broadcast(vars(field))
     parts = sample.select("label", _document_parts(shared, F.col("text")).alias("p"))
     rows = [tuple(r) for r in parts.select("label", "p.largest", "p.summed", "p.n_words").collect()]
     share = labels.where(train & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
@@ -343,7 +343,7 @@ def tag(field: Field | None, docs: DataFrame, text: str = "text") -> Column:
     """A column (score, spans): 0 to 1, and the character ranges of toxic spans."""
     if field is None:
         return F.struct(F.lit(0.0).alias("score"), F.array().cast(SPANS).alias("spans"))
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(field))
     parts = _document_parts(shared, F.col(text))
     a, b, c, d = field.document
     lean = F.greatest(F.least(parts["largest"], F.lit(1 - 1e-6)), F.lit(1e-6))
