@@ -135,3 +135,24 @@ def static_user_features(features: DataFrame, order: str = "category_idx") -> Da
     others = [c for c in features.columns if c not in ("user_id", order, "category")]
     first = features.groupBy("user_id").agg(F.min_by(F.struct(*others), order).alias("f"))
     return first.select("user_id", *[F.col("f")[c].alias(c) for c in others])
+
+
+def static_as_of(reviews: DataFrame, as_of: int) -> DataFrame:
+    """Behaviour per user up to ``as_of``, in the reviews' time unit, and nothing later.
+
+    Together with ``sequence_samples(as_of=...)``, which keeps the prefixes that reach past
+    that time, no feature sees what it is used to predict.
+    """
+    past = reviews.where((F.col("unixReviewTime") <= as_of) & F.col("user_id").isNotNull())
+    per_category = past.groupBy("user_id", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("rating").cast("double")).alias("rating_sum"),
+        F.count("rating").alias("rating_n"),
+        F.max("unixReviewTime").alias("last"),
+    )
+    return per_category.groupBy("user_id").agg(
+        F.sum("n").alias("past_purchases"),
+        F.count(F.lit(1)).alias("past_categories"),
+        F.try_divide(F.sum("rating_sum"), F.sum("rating_n")).alias("past_avg_rating"),
+        F.max("last").alias("past_last_review_time"),
+    )

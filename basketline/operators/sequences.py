@@ -72,12 +72,14 @@ def sequence_samples(
     hot_user_rows: int = HOT_KEY_ROWS,
     chunk_rows: int = HOT_CHUNK_ROWS,
     sizes: DataFrame | None = None,
+    as_of: int | None = None,
 ) -> DataFrame:
     """Samples for every prefix of at least ``min_prefix`` purchases with a next one.
 
     ``static`` holds at most one row per user; users without one keep their samples
     with null features. ``sizes`` is a stored table with the ``total_purchases`` of each
     ``user_id``; without it, the reviews are read once more to find very active users.
+    ``as_of`` keeps only prefixes whose next purchase is later than that time.
     """
     events = purchase_events(reviews, categories, tie_break)
     order = ["unixReviewTime", *_tie_columns(events, tie_break)]
@@ -90,6 +92,8 @@ def sequence_samples(
 
     def finish(prefixes: DataFrame, features: DataFrame | None) -> DataFrame:
         kept = prefixes.where((F.col("prefix_length") >= min_prefix) & F.col("_next").isNotNull())
+        if as_of is not None:
+            kept = kept.where(F.col("_next.time") > as_of)
         if every_k_prefix > 1:
             step = F.pmod(F.col("prefix_length") - min_prefix, F.lit(every_k_prefix))
             kept = kept.where(step == 0)
@@ -131,7 +135,7 @@ def _running(df: DataFrame, keys: list[str], order: list[str], index, n_latest:
     """Running sums, first time, neighbours; ``_in_category`` must be there already."""
     rows = Window.partitionBy(*keys).orderBy(*order)
     run = rows.rowsBetween(_BEFORE, Window.currentRow)
-    following = F.struct("category_idx", "category")
+    following = F.struct("category_idx", "category", F.col("unixReviewTime").alias("time"))
     return df.select(
         "*",
         *[F.sum(value).over(run).alias(name) for name, value in _additive(index).items()],
@@ -190,7 +194,7 @@ def _past_sums(chunked: DataFrame, order: list[str], index, n_latest: int) -> Da
     """Per chunk: sums, first time and last categories of all earlier chunks, and the
     first row of the next one. One row per chunk, so its windows are small."""
     position = F.struct(*order)
-    head = F.struct("category_idx", "category")
+    head = F.struct("category_idx", "category", F.col("unixReviewTime").alias("time"))
     totals = chunked.groupBy("user_id", "chunk").agg(
         *[F.sum(value).alias(name) for name, value in _additive(index).items()],
         F.min("unixReviewTime").alias("_first_time"),

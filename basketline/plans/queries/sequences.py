@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketline.operators import counting, features, scoring
 from basketline.operators.sequences import sequence_samples
@@ -273,3 +274,29 @@ def static_first_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     indexed = with_category_index(per_category, event_categories(spark, sf_dir))
     return rounded(features.static_user_features(indexed))
+
+
+#: The middle of the events' time, so that there are histories on both sides.
+AS_OF_SQL = """cut AS (SELECT CAST(floor((min(epoch_us(ts)) + max(epoch_us(ts))) / 2) AS BIGINT) AS t0 FROM events)"""
+
+
+@query(
+    "seq_as_of",
+    f"""WITH {SAMPLES_SQL}, {AS_OF_SQL},
+    past AS (SELECT user_id, count(*) AS past_purchases, count(DISTINCT category) AS past_categories,
+        round(avg(rating), 9) AS past_avg_rating FROM ev, cut WHERE t <= t0 GROUP BY user_id),
+    n AS (SELECT user_id, prefix_length, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS t1 FROM steps)
+    SELECT n.user_id, n.prefix_length, past_purchases, past_categories, past_avg_rating
+    FROM n JOIN cut ON t1 > t0 LEFT JOIN past ON n.user_id = past.user_id WHERE n.prefix_length >= 3""",
+)
+def seq_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of purchases after a time, with features of the time before it only."""
+    reviews = tables.event_reviews(spark, sf_dir)
+    low, high = reviews.agg(F.min("unixReviewTime"), F.max("unixReviewTime")).first()
+    as_of = (low + high) // 2
+    samples = event_samples(
+        spark, sf_dir, static=features.static_as_of(reviews, as_of), as_of=as_of
+    )
+    return rounded(
+        samples.select("user_id", "prefix_length", "past_purchases", "past_categories", "past_avg_rating")
+    )

@@ -182,3 +182,6 @@ def test_known_sizes_spare_a_pass(spark, tmp_path):
     plain = as_set(sequence_samples(reviews, names))
     assert as_set(sequence_samples(reviews, names, sizes=sizes)) == plain
     assert as_set(sequence_samples(reviews, names, sizes=sizes, hot_user_rows=20, chunk_rows=15)) == plain
+    later = as_set(sequence_samples(reviews, names, as_of=150))
+    assert later < plain and len(later) == 149
+    assert as_set(sequence_samples(reviews, names, as_of=150, hot_user_rows=20, chunk_rows=15)) == later
