@@ -40,6 +40,6 @@ MAX_BROADCAST_KEYS = 100_000
 #: Rows that exact order statistics may hold in one aggregation buffer.
 EXACT_RANK_ROWS = 200_000
 #: Training rows in one partition; the same on every cluster, as bagging depends on it.
-FIT_PARTITION_ROWS = 25_000
+FIT_PARTITION_ROWS = 10_000
 #: Categories that may become columns of a wide table.
 MAX_CATEGORY_COLUMNS = 2_000
