@@ -38,7 +38,7 @@ HEADLINE = [
     "ingest_lenient",
     "incremental_counts",
     "ml_logreg",
-    "ml_forest",
+    "ml_tree",
     "ml_gbt",
 ]
 
