@@ -13,6 +13,7 @@ from basketline.llm import (
     hd_langid,
     knn_quality,
     residual_packing,
+    swar_fim,
     temperature_mix,
     token_counts,
     toxicity_crf,
@@ -108,3 +109,19 @@ def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return residual_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+@query
+def op11_swar_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = swar_fim.with_fim(docs, seed=7, percent=100, spm_percent=50)
+    back = swar_fim.restored(F.col("fim.form"), F.col("fim.output"))
+    return done.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
