@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketline.llm import (
@@ -18,6 +18,7 @@ from basketline.llm import (
     token_counts,
     toxicity_crf,
     vector_lsh,
+    word_runs,
 )
 from basketline.llm.common import held_out, table
 
@@ -125,3 +126,33 @@ def op11_swar_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+def with_periods(doc_id: str, text: str) -> Column:
+    """The text; where the id's hash is a multiple of ten, with its end made periodic as the query's definition says."""
+    words = F.array_remove(F.split(F.col(text), "[ \\t-\\r]+"), "")
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    unit = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    made = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(unit), F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col(text))
+
+
+@query
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periods("doc_id", "text").alias("text"))
+    found = word_runs.with_runs(docs)
+    best = F.col("periodic.strongest")
+    lines = F.transform("periodic.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * periodic.strongest.length div periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
