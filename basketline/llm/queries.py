@@ -13,6 +13,7 @@ from basketline.llm import (
     hd_langid,
     knn_quality,
     residual_packing,
+    stock_packing,
     swar_fim,
     temperature_mix,
     token_counts,
@@ -128,6 +129,12 @@ def op11_swar_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return stock_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
 def with_periods(doc_id: str, text: str) -> Column:
     """The text; where the id's hash is a multiple of ten, with its end made periodic as the query's definition says."""
     words = F.array_remove(F.split(F.col(text), "[ \\t-\\r]+"), "")
