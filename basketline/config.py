@@ -29,6 +29,8 @@ FIT_ROWS = {
 TUNING_TRIALS = 10
 TUNING_ROWS = 200_000
 ENSEMBLE_SIZE = 2
+#: Rounds without a gain on held-out rows after which a search trial ends.
+TUNING_PATIENCE = 20
 
 # Scale guards of this library.
 #: A user with more rows than this is not handled in one window partition.

@@ -150,12 +150,12 @@ def train_boosting(
         weights = metrics.class_weights(train, learning.LABEL)
         train = metrics.with_class_weight(train, weights, learning.LABEL)
     # The setting used without tuning.
-    setting, table = {"learning_rate": 0.1, "max_leaf_nodes": 63, "min_leaf": 50}, None
+    setting, table = {"learning_rate": 0.1, "max_leaf_nodes": 63, "min_leaf": 50, "l2": 1.0}, None
     if trials > 0:
         subset = seeded_subset(train, tuning_rows, splitting.SAMPLE_KEY, TUNING_SEED)
         table, setting, _ = tuning.random_search(
             subset, data.split("val"), stages, tuning.draw_settings(trials),
-            rounds=tuning_rounds, weighted=class_weights,
+            rounds=tuning_rounds, patience=config.TUNING_PATIENCE, weighted=class_weights,
         )
     fitted = [
         learning.fit(
