@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -157,13 +158,11 @@ def train_boosting(
             subset, data.split("val"), stages, tuning.draw_settings(trials),
             rounds=tuning_rounds, patience=config.TUNING_PATIENCE, weighted=class_weights,
         )
-    fitted = [
-        learning.fit(
-            train, stages,
-            learning.boosted_trees(**setting, rounds=rounds, weighted=class_weights, seed=seed),
-        )
-        for seed in tuning.fit_seeds(members, MEMBERS_SEED)
-    ]
+    def member(seed: int) -> Callable[[], PipelineModel]:
+        build = learning.boosted_trees(**setting, rounds=rounds, weighted=class_weights, seed=seed)
+        return lambda: learning.fit(train, stages, build)
+
+    fitted = learning.at_once(train.sparkSession, [member(s) for s in tuning.fit_seeds(members, MEMBERS_SEED)])
     scored = learning.ensemble_score(fitted, data.samples, KEEP)
     measured, report = measure(scored, "gradient_boosting")
     settings = setting | {"rounds": rounds, "class_weights": class_weights, "fit_rows": fit_rows}
