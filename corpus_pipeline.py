@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import hd_langid, knn_quality, residual_packing, shingle_dedup, temperature_mix
+from basketline.llm import gray_copies, hd_langid, knn_quality, residual_packing, temperature_mix
 from basketline.llm.common import free_name, held_out, table
 from basketline.staging import stage
 
@@ -43,9 +43,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word Jaccard similarity of at least 0.8.
 
-    The stage keeps its name; fingerprints find too few of these, so it compares shingles.
+    Candidates come from the Gray-order index over five-word fingerprints; texts decide.
     """
-    return shingle_dedup.one_of_each(docs)
+    return gray_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
