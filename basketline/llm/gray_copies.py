@@ -8,12 +8,13 @@ that differ in ``REACH`` bits meet below one of them with a probability of ``REC
 node, fingerprints are sorted by Gray rank; leaves and inner nodes keep the bits that they share,
 and pairs of groups that differ in more than ``LIMIT`` of these are pruned.
 
-A first pass gives each fingerprint two candidates below each node: the one before it in Gray order
-and the first of its group of close ones. Candidates count only if their texts have a
-similarity of at least 4/5, by their shingles, not hashes. The groups that come out of it are large ones
-already; a second pass takes all close pairs below a node that are in different groups. Nodes of
-more than ``PART_ROWS`` are cut into parts: the first pass looks within each, the second at all pairs
-of parts. So no task holds more than two parts, and no pair is left out.
+First rounds, over a few masks, give each fingerprint two candidates below each node: the one before it in
+Gray order and the first of its group of close ones. Candidates count only if their texts have
+a similarity of at least 4/5, by their shingles, not hashes. Each round goes on with the groups that
+the rounds before have found, so a large group of near-copies grows together from few pairs. The last
+pass, over all masks, takes all close pairs below a node that are in different groups. Nodes of
+more than ``PART_ROWS`` are cut into parts: the first rounds look within each, the last pass at all
+pairs of parts. So no task holds more than two parts, and no pair is left out.
 
 Words are as in ``gray_simhash``. A text of up to five words is a single shingle; null texts and
 texts without a word have the same empty set. Equal sets are one node, so copies and repeated
@@ -40,11 +41,13 @@ from basketline.llm.shingle_dedup import SEED, _verified, shingles
 from basketline.staging import stage
 
 #: Differing bits up to which fingerprints are compared by their texts.
-LIMIT = 16
+LIMIT = 14
 #: Fingerprints that differ in so many bits meet with a probability of RECALL; closer ones more often.
 REACH, RECALL = 11, 0.95
 #: Fingerprints below a node on average, and at most in a part of one.
 NODE_ROWS, PART_ROWS = 64, 4_096
+#: Masks of each of the first rounds.
+ROUNDS = (1, 4)
 #: Bits of a mask at least.
 LEAST_BITS = 6
 
@@ -118,7 +121,7 @@ def _searched(every: bool):
                 order = np.argsort(gray_rank(codes), kind="stable")
                 codes, node, group, n = codes[order], part["node"][order], part["group"][order], part["n"][order]
                 if every:
-                    found = [p[:, group[p[0]] != group[p[1]]] for p in map(np.stack, close_pairs(codes))]
+                    found = list(close_pairs(codes))
                 else:
                     merged = Merged(len(codes))
                     for a, b in close_pairs(codes):
@@ -129,6 +132,8 @@ def _searched(every: bool):
                     rest = np.flatnonzero(merged.label != np.arange(len(codes)))
                     found = [np.stack([lined[:-1][same], lined[1:][same]]), np.stack([merged.label[rest], rest])]
                 for a, b in found:
+                    apart = group[a] != group[b]
+                    a, b = a[apart], b[apart]
                     # Too different in size to be alike.
                     fits = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
                     out.append(np.stack([node[a][fits], node[b][fits]]))
@@ -158,14 +163,20 @@ def _candidates(under: DataFrame, every: bool) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of alike nodes that connect the groups of (node, code, n)."""
-    every_mask = F.array(*[F.lit(_signed(m)) for m in masks(nodes.count())])
-    under = nodes.select("node", "code", "n", F.explode(every_mask).alias("mask")).withColumn("pattern", F.expr("code & mask"))
-    alone = under.withColumn("group", F.col("node"))
-    first = _verified(stage(_candidates(alone, every=False), "candidates"), texts)
-    named = components(first).select("node", F.col("component").alias("group"))
-    grouped = stage(nodes.join(named, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
-    under = grouped.select("node", "code", "n", "group", F.explode(every_mask).alias("mask")).withColumn("pattern", F.expr("code & mask"))
-    return first.unionAll(_verified(stage(_candidates(under, every=True), "candidates"), texts))
+    every_mask = masks(nodes.count())
+    grouped, found, at = nodes.withColumn("group", F.col("node")), None, 0
+    for n in (*ROUNDS, None):
+        chosen = every_mask[at : at + n] if n else every_mask
+        under = grouped.select("*", F.explode(F.array(*[F.lit(_signed(m)) for m in chosen])).alias("mask"))
+        under = under.withColumn("pattern", F.expr("code & mask"))
+        more = _verified(stage(_candidates(under, every=n is None), "candidates"), texts)
+        found = more if found is None else found.unionAll(more)
+        if n:
+            at += n
+            named = components(found).select("node", F.col("component").alias("group"))
+            joined = nodes.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
+            grouped = stage(joined, "grouped")
+    return found
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -61,7 +61,8 @@ def test_recall_on_sf01(spark):
 
 
 def code_of(shingles):
-    ones = sum(np.array([xxhash.xxh64_intdigest(s, 42) >> b & 1 for b in range(64)]) for s in shingles)
+    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int)
     return sum(1 << b for b in range(64) if ones[b] * 2 > len(shingles))
 
 
