@@ -47,7 +47,9 @@ def labelled_sample(
     The choice follows a seeded hash of the id, so it does not depend on row order. Ids
     are picked first, from the narrow label table; only then are texts read, against a
     list of at most ``2 * per_class`` ids, which is why that list may be broadcast. An id
-    with several labels takes the larger, several documents of one id all count.
+    with several labels takes the larger; of several documents of one id, the text with the
+    smallest seeded hash counts. Null texts are empty, null ids and labels are left out, and
+    empty tables give an empty sample.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & train)
@@ -60,7 +62,8 @@ def labelled_sample(
         part = known.where(F.col("label") == value).orderBy(order, "sample_id").limit(per_class)
         ids = part if ids is None else ids.unionAll(part)
     texts = docs.select(F.col(doc_id).alias("sample_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "sample_id").select("text", "label")
+    chosen = F.min_by("text", F.xxhash64(F.col("text"), F.lit(seed))).alias("text")
+    return texts.join(F.broadcast(ids), "sample_id").groupBy("sample_id", "label").agg(chosen).select("text", "label")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

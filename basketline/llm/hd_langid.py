@@ -7,14 +7,17 @@ training texts. A text goes to the language whose prototype has the largest cosi
 training texts count: each task sums its own per language, so what is merged is one vector
 per language and task.
 
-Letters are lower-cased; anything between two words counts as one blank. Null texts and
-texts without a letter are ``und`` with score 0, as is everything if no language was
-learned. Equal cosines go to the first language in order.
+Letters are the characters of ``str.isalpha``, lower-cased; anything between two words
+counts as one blank. Null texts and texts without a letter are ``und`` with score 0, as is
+everything if no language was learned. Equal cosines go to the first language in order.
+Repeated rows count each time in a prototype and get equal answers. An empty table teaches
+no language and gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,11 +34,17 @@ SEED = 3
 MAX_LANGUAGES = 10_000
 #: Characters of a block of texts whose triples are counted together.
 BLOCK = 200_000
+#: Cells (texts times distinct triples) up to which a block's counts are a dense table.
+CELLS = 4_000_000
+#: Letters whose vectors a worker keeps, 1 KB each.
+KEPT_LETTERS = 20_000
 #: How sharply a lead in cosine turns into confidence.
 SHARPNESS = 25.0
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Number signs, such as ½ or Ⅷ: word characters to a pattern, but no letters.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
 
 
 def _letter(code: int) -> np.ndarray:
@@ -46,6 +55,8 @@ def _letter(code: int) -> np.ndarray:
 def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of letters, rotated by two, one and no places."""
     known = kept(f"letters {SEED} {DIMENSIONS}", dict)
+    if len(known) > KEPT_LETTERS:
+        known.clear()
     for code in codes.tolist():
         if code not in known:
             known[code] = _letter(code)
@@ -74,14 +85,23 @@ def bundle(texts: list[str]) -> np.ndarray:
         columns = column[triples]
     else:
         seen, columns = np.unique(triples, return_inverse=True)
-    counts = np.bincount(owner * len(seen) + columns, minlength=len(texts) * len(seen))
-    counts = counts.reshape(len(texts), len(seen)).astype(np.float32)
     first, second, third = _letters(letters)
+
+    def bound(part: np.ndarray) -> np.ndarray:
+        return first[part // size**2] * second[part // size % size] * third[part % size]
+
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    for at in range(0, len(seen), 4_096):
-        part = seen[at : at + 4_096]
-        bound = first[part // size**2] * second[part // size % size] * third[part % size]
-        out += counts[:, at : at + 4_096] @ bound.astype(np.float32)
+    if len(texts) * len(seen) <= CELLS:
+        counts = np.bincount(owner * len(seen) + columns, minlength=len(texts) * len(seen))
+        counts = counts.reshape(len(texts), len(seen)).astype(np.float32)
+        for at in range(0, len(seen), 4_096):
+            out += counts[:, at : at + 4_096] @ bound(seen[at : at + 4_096]).astype(np.float32)
+        return out
+    # Many short texts of many letters: few cells are filled, so triples are added one by one.
+    for at in range(0, len(triples), 4_096):
+        rows = owner[at : at + 4_096]
+        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+        out[rows[begins]] += np.add.reduceat(bound(triples[at : at + 4_096]), begins, axis=0, dtype=np.int32)
     return out
 
 

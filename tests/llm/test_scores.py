@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketline.llm import hd_langid, knn_quality, toxicity_crf
-from basketline.llm.common import held_out
+from basketline.llm.common import held_out, labelled_sample
 
 from .conftest import prose
 
@@ -122,6 +123,84 @@ def test_many_letters_use_the_other_count():
     assert np.allclose(hd_langid.bundle([text, "ab"])[1], hd_langid.bundle(["ab"])[0])
 
 
+def plain_bundle(text):
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    padded = f" {' '.join(''.join(letters).split())} "
+    vectors = [hd_langid._letter(ord(c)).astype(int) for c in padded]
+    out = np.zeros(hd_langid.DIMENSIONS)
+    for a, b, c in zip(vectors, vectors[1:], vectors[2:], strict=False):
+        out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_prototypes_cosines_and_scores_by_brute_force(spark):
+    langs = ("en", "de")
+    rows = [(i, prose(i, 8, langs[i % 2]) + ("½ ²x Ⅷ" if i % 5 == 0 else ""), langs[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    known = hd_langid.prototypes(docs, F.col("doc_id") < 30)
+    assert sorted(known) == sorted(langs)
+    for name in langs:
+        # The texts of a block are joined by a blank.
+        assert (known[name] == plain_bundle(" ".join(t for i, t, lang in rows if i < 30 and lang == name))).all()
+    found = {r.doc_id: r.f for r in docs.select("doc_id", hd_langid.identify(known, docs).alias("f")).collect()}
+    for i, text, _ in rows:
+        own = plain_bundle(text)
+        cosines = {n: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for n, v in known.items()}
+        best = max(cosines, key=cosines.get)
+        want = 1 / sum(math.exp(hd_langid.SHARPNESS * (c - cosines[best])) for c in cosines.values())
+        assert found[i].lang_pred == best and found[i].score == pytest.approx(want, abs=1e-3)
+
+
+def test_number_signs_are_no_letters(spark):
+    known = {"en": hd_langid.bundle(["some words"])[0]}
+    texts = ["½", "²", "Ⅷ", "③", "123 ½", "_", "५", "x½", "Ⅷa", "ª", "漢"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in docs.select("text", hd_langid.identify(known, docs)["lang_pred"].alias("l")).collect():
+        assert (row.l == "und") == (not any(c.isalpha() for c in row.text)), row.text
+
+
+def test_many_short_texts_of_many_letters():
+    rng = random.Random(4)
+    texts = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(20)) for _ in range(9_000)]
+    hd_langid.bundle(texts[:300])
+    tracemalloc.start()
+    out = hd_langid.bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    for i in (0, 205, 206, 4_567, 8_999):
+        assert (out[i] == plain_bundle(texts[i])).all()
+    assert (hd_langid.bundle([*texts[:300], "a"])[:300] == out[:300]).all()
+
+
+def test_sample_keeps_its_bound(spark):
+    hot = [(1, None if i % 3 else f"hot {i}") for i in range(50_000)]
+    docs = spark.createDataFrame([*hot, *((i, f"text {i}") for i in range(2, 60)), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    for per_class in (5, 100):
+        sample = [labelled_sample(d, labels, "toxic", everything(), per_class, 1).collect() for d in (docs, docs.repartition(7))]
+        assert sorted(sample[0]) == sorted(sample[1])
+        assert len(sample[0]) <= 2 * per_class
+    assert sum(r.text in {t or "" for _, t in hot} for r in sample[0]) == 1 and len(sample[0]) == 59
+
+
+def test_words_behind_the_twelfth_window_are_learned(spark):
+    rows = []
+    for i in range(200):
+        words = prose(i, 1_500).split()
+        if i % 2:
+            # Twelve windows around one insult, the other behind them.
+            for k in range(13):
+                words[20 + 60 * k] = "grobbler"
+            for k in range(8):
+                words[900 + 60 * k] = "vilest"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    field = toxicity_crf.learn(docs, labels, everything())
+    assert any(f.startswith("vile") and weight > 0 for f, weight in field.weights.items())
+
+
 def test_languages(spark):
     docs = spark.createDataFrame(
         [(i, prose(i, 30, "de" if i % 2 else "en"), "de" if i % 2 else "en") for i in range(300)],
