@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.functions.coerce import TICKS_PER_SECOND, clip_low
+from basketline.functions.entropy import entropy_from_sums
 
 COUNT_PREFIX = "prefix_cat_count_"
 
@@ -26,8 +27,12 @@ def _has(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 
 
-def linear_features(df: DataFrame, time_unit: str = "s") -> DataFrame:
-    """Features for the linear models: pace, deviations from the prefix, category spread."""
+def linear_features(df: DataFrame, time_unit: str = "s", n_categories: int | None = None) -> DataFrame:
+    """Features for the linear models: pace, deviations from the prefix, category spread.
+
+    The spread comes from the category counts or, without these, from the two columns of
+    ``category_spread``; the number of categories, which scales the entropy, is then needed.
+    """
     c, new = F.col, {}
     if _has(df, "prefix_length", "prefix_timespan"):
         new["prefix_reviews_per_day"] = F.try_divide(
@@ -39,11 +44,25 @@ def linear_features(df: DataFrame, time_unit: str = "s") -> DataFrame:
         new["last_item_avg_minus_prefix_item_avg"] = c("last_item_avg_rating") - c(
             "prefix_avg_item_avg_rating"
         )
-    return df.withColumns(new | _category_spread(df))
+    return df.withColumns(new | _category_spread(df, n_categories))
+
+
+def _norm(entropy: Column, n_categories: int | None) -> Column:
+    if n_categories is None or n_categories <= 1:
+        return F.lit(None).cast("double")
+    return entropy / math.log(n_categories)
 
 
-def _category_spread(df: DataFrame) -> dict[str, Column]:
+def _category_spread(df: DataFrame, n_categories: int | None) -> dict[str, Column]:
     counts = [F.col(f"`{n}`") for n in df.columns if n.startswith(COUNT_PREFIX)]
+    if not counts and _has(df, "prefix_length", "prefix_cat_max", "prefix_cat_n_log_n"):
+        total = F.col("prefix_length").cast("double")
+        entropy = entropy_from_sums(total, F.col("prefix_cat_n_log_n"))
+        return {
+            "prefix_cat_dom_ratio": F.try_divide(F.col("prefix_cat_max"), total),
+            "prefix_cat_entropy_dynamic": entropy,
+            "prefix_cat_norm_entropy_dynamic": _norm(entropy, n_categories),
+        }
     if not counts:
         return {}
     total = reduce(add, counts)
@@ -54,11 +73,10 @@ def _category_spread(df: DataFrame) -> dict[str, Column]:
         return F.when(count > 0, -share * F.ln(share)).otherwise(F.lit(0.0))
 
     entropy = reduce(add, [part(count) for count in counts])
-    norm = entropy / math.log(len(counts)) if len(counts) > 1 else F.lit(None).cast("double")
     return {
         "prefix_cat_dom_ratio": F.try_divide(largest, total),
         "prefix_cat_entropy_dynamic": entropy,
-        "prefix_cat_norm_entropy_dynamic": norm,
+        "prefix_cat_norm_entropy_dynamic": _norm(entropy, len(counts)),
     }
 
 

@@ -18,6 +18,7 @@ from basketline.config import (
     MIN_PREFIX_LENGTH,
     N_LATEST_CATEGORIES,
 )
+from basketline.functions.entropy import x_log_x
 from basketline.operators.skew import cut_in_order, hot_keys, known_hot_keys, split_hot
 from basketline.sources.categories import (
     as_columns,
@@ -68,6 +69,7 @@ def sequence_samples(
     min_prefix: int = MIN_PREFIX_LENGTH,
     every_k_prefix: int = 1,
     category_counts: bool = True,
+    category_spread: bool = False,
     tie_break: list[str] | None = None,
     hot_user_rows: int = HOT_KEY_ROWS,
     chunk_rows: int = HOT_CHUNK_ROWS,
@@ -79,6 +81,8 @@ def sequence_samples(
     ``static`` holds at most one row per user; users without one keep their samples
     with null features. ``sizes`` is a stored table with the ``total_purchases`` of each
     ``user_id``; without it, the reviews are read once more to find very active users.
+    ``category_spread`` adds the largest category count of the prefix and the sum of
+    ``n ln n`` over its category counts: two columns for any number of categories.
     ``as_of`` keeps only prefixes whose next purchase is later than that time.
     """
     events = purchase_events(reviews, categories, tie_break)
@@ -97,7 +101,7 @@ def sequence_samples(
         if every_k_prefix > 1:
             step = F.pmod(F.col("prefix_length") - min_prefix, F.lit(every_k_prefix))
             kept = kept.where(step == 0)
-        return _sample_columns(kept, features, index, n_latest)
+        return _sample_columns(kept, features, index, n_latest, category_spread)
 
     samples = finish(_prefixes(ordinary, order, index, n_latest), static)
     if heavy is None:
@@ -131,6 +135,11 @@ def _rank_of(count: Column) -> Column:
     return F.struct(count.alias("count"), (-F.col("category_idx")).alias("neg_idx"))
 
 
+def _growth(before: Column, after: Column) -> Column:
+    """What a category adds to the sum of ``n ln n`` as its count grows."""
+    return x_log_x(after) - x_log_x(before)
+
+
 def _running(df: DataFrame, keys: list[str], order: list[str], index, n_latest: int) -> DataFrame:
     """Running sums, first time, neighbours; ``_in_category`` must be there already."""
     rows = Window.partitionBy(*keys).orderBy(*order)
@@ -141,6 +150,7 @@ def _running(df: DataFrame, keys: list[str], order: list[str], index, n_latest:
         *[F.sum(value).over(run).alias(name) for name, value in _additive(index).items()],
         F.min("unixReviewTime").over(run).alias("_first_time"),
         F.max(_rank_of(F.col("_in_category"))).over(run).alias("_favourite"),
+        F.sum(_growth(F.col("_in_category") - 1, F.col("_in_category"))).over(run).alias("_spread"),
         F.lead(following).over(rows).alias("_next"),
         *[F.lag("category_idx", k).over(rows).alias(f"_back_{k}") for k in range(1, n_latest)],
     )
@@ -167,8 +177,8 @@ def _chunked_prefixes(
 ) -> DataFrame:
     chunked = cut_in_order(events, "user_id", order, chunk_rows).drop("_row")
     keys = ["user_id", "chunk"]
-    past_counts, past_favourite = _past_categories(chunked)
-    past = _past_sums(chunked, order, index, n_latest).join(past_favourite, keys, "left")
+    past_counts, past_summary = _past_categories(chunked)
+    past = _past_sums(chunked, order, index, n_latest).join(past_summary, keys, "left")
 
     placed = chunked.repartition(*keys)
     counted = placed.withColumn("_in_chunk", _count_in_category(keys, order))
@@ -182,6 +192,7 @@ def _chunked_prefixes(
     }
     merged["_first_time"] = F.least("_first_time", "_past_first_time")
     merged["_favourite"] = F.greatest("_favourite", "_past_favourite")
+    merged["_spread"] = F.col("_spread") + F.coalesce("_past_spread", F.lit(0.0))
     merged["_next"] = F.coalesce("_next", "_next_head")
     for k in range(1, n_latest):
         carried = F.get("_past_latest", F.lit(k) - F.col("_rows").cast("int"))
@@ -226,7 +237,7 @@ def _last_categories(chunked: DataFrame, order: list[str], n_latest: int) -> Dat
 
 
 def _past_categories(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of a chunk's categories before the chunk, and the favourite before it."""
+    """Counts of a chunk's categories before the chunk; favourite and spread before it."""
     per_category = chunked.groupBy("user_id", "chunk", "category_idx").agg(
         F.count(F.lit(1)).alias("_n")
     )
@@ -234,25 +245,28 @@ def _past_categories(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = per_category.withColumn(
         "_past_in_category", F.coalesce(F.sum("_n").over(by_category.rowsBetween(_BEFORE, -1)), F.lit(0))
     )
-    best = counts.groupBy("user_id", "chunk").agg(
-        F.max(_rank_of(F.col("_past_in_category") + F.col("_n"))).alias("_best")
+    before, after = F.col("_past_in_category"), F.col("_past_in_category") + F.col("_n")
+    own = counts.groupBy("user_id", "chunk").agg(
+        F.max(_rank_of(after)).alias("_best"), F.sum(_growth(before, after)).alias("_grown")
     )
-    chunks = Window.partitionBy("user_id").orderBy("chunk")
-    favourite = best.select(
+    earlier = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(_BEFORE, -1)
+    summary = own.select(
         "user_id",
         "chunk",
-        F.max("_best").over(chunks.rowsBetween(_BEFORE, -1)).alias("_past_favourite"),
+        F.max("_best").over(earlier).alias("_past_favourite"),
+        F.sum("_grown").over(earlier).alias("_past_spread"),
     )
-    return counts.drop("_n"), favourite
+    return counts.drop("_n"), summary
 
 
 # Output ------------------------------------------------------------------------
 
 
 def _sample_columns(
-    prefixes: DataFrame, static: DataFrame | None, index: dict[str, int], n_latest: int
+    prefixes: DataFrame, static: DataFrame | None, index: dict[str, int], n_latest: int, spread: bool
 ) -> DataFrame:
     c = F.col
+    spread_columns = {"prefix_cat_max": c("_favourite.count"), "prefix_cat_n_log_n": c("_spread")} if spread else {}
     if static is None:
         described, features = prefixes, []
     else:
@@ -278,6 +292,7 @@ def _sample_columns(
         F.coalesce(c("verified_purchase").cast("int"), F.lit(0)).alias("last_verified"),
         *[value.alias(f"last_{k}_category_idx") for k, value in enumerate(latest[:n_latest], 1)],
         *[c(f"_count_{i}").alias(f"prefix_cat_count_{name}") for name, i in index.items()],
+        *[value.alias(name) for name, value in spread_columns.items()],
         (-c("_favourite.neg_idx")).alias("prefix_most_freq_category_idx"),
         c("_next.category_idx").alias("target_category_idx"),
         c("_next.category").alias("target_category"),

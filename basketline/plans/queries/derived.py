@@ -25,6 +25,12 @@ def _linear(spark: SparkSession, sf_dir: str, *names: str, **options) -> DataFra
     return rounded(derived.linear_features(samples, UNIT).select(*KEY, *names))
 
 
+def _without_counts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The category spread without a column per category."""
+    samples = event_samples(spark, sf_dir, category_counts=False, category_spread=True)
+    return rounded(derived.linear_features(samples, UNIT, n_categories=6).select(*KEY, *names))
+
+
 def _boosting(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     samples = event_samples(spark, sf_dir, static=event_totals(spark, sf_dir))
     return rounded(derived.boosting_features(samples, UNIT).select(*KEY, *names))
@@ -51,30 +57,39 @@ def derived_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linear(spark, sf_dir, *names, described=True)
 
 
-@query(
-    "derived_dom_ratio",
-    f"""WITH {SAMPLES_SQL} SELECT user_id, prefix_length,
-    round(greatest(n0, n1, n2, n3, n4, n5) / prefix_length, 9) AS prefix_cat_dom_ratio FROM s""",
-)
-def derived_dom_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linear(spark, sf_dir, "prefix_cat_dom_ratio", category_counts=True)
-
-
-@query(
-    "derived_entropy",
-    f"""WITH {SAMPLES_SQL},
+DOM_SQL = f"""WITH {SAMPLES_SQL} SELECT user_id, prefix_length,
+    round(greatest(n0, n1, n2, n3, n4, n5) / prefix_length, 9) AS prefix_cat_dom_ratio FROM s"""
+ENTROPY_SQL = f"""WITH {SAMPLES_SQL},
     cells AS (SELECT user_id, prefix_length, unnest([n0, n1, n2, n3, n4, n5]) AS n FROM s),
     h AS (SELECT user_id, prefix_length, sum(CASE WHEN n > 0 THEN
             -(n / prefix_length) * ln(n / prefix_length) ELSE 0 END) AS h
           FROM cells GROUP BY ALL)
     SELECT user_id, prefix_length, round(h, 9) + 0.0 AS prefix_cat_entropy_dynamic,
-      round(h / ln(6), 9) + 0.0 AS prefix_cat_norm_entropy_dynamic FROM h""",
-)
+      round(h / ln(6), 9) + 0.0 AS prefix_cat_norm_entropy_dynamic FROM h"""
+
+
+@query("derived_dom_ratio", DOM_SQL)
+def derived_dom_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linear(spark, sf_dir, "prefix_cat_dom_ratio", category_counts=True)
+
+
+@query("derived_entropy", ENTROPY_SQL)
 def derived_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["prefix_cat_entropy_dynamic", "prefix_cat_norm_entropy_dynamic"]
     return _linear(spark, sf_dir, *names, category_counts=True)
 
 
+@query("derived_dom_long", DOM_SQL)
+def derived_dom_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_counts(spark, sf_dir, "prefix_cat_dom_ratio")
+
+
+@query("derived_entropy_long", ENTROPY_SQL)
+def derived_entropy_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["prefix_cat_entropy_dynamic", "prefix_cat_norm_entropy_dynamic"]
+    return _without_counts(spark, sf_dir, *names)
+
+
 @query(
     "derived_logs",
     f"""WITH {SAMPLES_SQL}, {STATIC_SQL} SELECT s.user_id, prefix_length,

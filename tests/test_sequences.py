@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from basketline.operators.derived import linear_features
 from basketline.operators.sequences import sequence_samples
 from tests.helpers import as_set, brute_force_samples, jobs_of, physical_plan, rows, same
 
@@ -185,3 +188,38 @@ def test_known_sizes_spare_a_pass(spark, tmp_path):
     later = as_set(sequence_samples(reviews, names, as_of=150))
     assert later < plain and len(later) == 149
     assert as_set(sequence_samples(reviews, names, as_of=150, hot_user_rows=20, chunk_rows=15)) == later
+
+
+def test_category_spread_equals_that_of_the_counts(spark):
+    df = spark.createDataFrame(history(8, one_hot=True), SCHEMA)
+    names = ["prefix_cat_dom_ratio", "prefix_cat_entropy_dynamic", "prefix_cat_norm_entropy_dynamic"]
+
+    def spread(**options):
+        samples = sequence_samples(df, NAMES, tie_break=["tie"], **options)
+        found = linear_features(samples, n_categories=len(NAMES)).select("user_id", "prefix_length", *names)
+        return {(r[0], r[1]): tuple(r)[2:] for r in found.collect()}
+
+    want = spread()
+    for options in ({}, {"hot_user_rows": 100, "chunk_rows": 37}):
+        got = spread(category_counts=False, category_spread=True, **options)
+        assert got.keys() == want.keys() and len(got) > 800
+        assert all(got[k] == pytest.approx(want[k], abs=1e-11) for k in want)
+
+
+def test_category_spread_of_thousands_of_categories(spark):
+    names = [f"c{i}" for i in range(3_000)]
+    rng = random.Random(9)
+    bought = [names[int(3_000 * rng.random() ** 3)] for _ in range(4_000)]
+    df = spark.createDataFrame(
+        [("u", i, i, c, 1.0, 0, 1.0, True) for i, c in enumerate(bought)], SCHEMA
+    )
+    samples = sequence_samples(
+        df, names, tie_break=["tie"], category_counts=False, category_spread=True, hot_user_rows=1_000, chunk_rows=700
+    )
+    for row in linear_features(samples, n_categories=3_000).where("prefix_length % 397 = 3").collect():
+        n = row["prefix_length"]
+        counts = Counter(bought[:n])
+        entropy = -sum(c / n * math.log(c / n) for c in counts.values())
+        assert row["prefix_cat_dom_ratio"] == pytest.approx(max(counts.values()) / n)
+        assert row["prefix_cat_entropy_dynamic"] == pytest.approx(entropy, abs=1e-10)
+        assert row["prefix_cat_norm_entropy_dynamic"] == pytest.approx(entropy / math.log(3_000), abs=1e-10)
