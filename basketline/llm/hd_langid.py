@@ -17,7 +17,6 @@ no language and gives an empty table.
 from __future__ import annotations
 
 import re
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,14 +41,15 @@ KEPT_LETTERS = 20_000
 SHARPNESS = 25.0
 
 UNKNOWN = "und"
-#: Number signs, such as ½ or Ⅷ: word characters to a pattern, but no letters.
-_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_SIGN = re.compile(f"[{_SIGNS}]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _without_signs(text: str) -> str:
-    return text if text.isascii() else _SIGN.sub(" ", text)
+def _words(text: str) -> list[str]:
+    """Runs of letters. To the pattern, number signs such as ½ or Ⅷ are letters too; to isalpha not."""
+    words = _LETTERS.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in text).split()
 
 
 def _letter(code: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bundle(texts: list[str]) -> np.ndarray:
     """One vector per text: the sum of its triples' vectors."""
-    words = [f" {' '.join(_LETTERS.findall(_without_signs(t.lower())))} " for t in texts]
+    words = [f" {' '.join(_words(t.lower()))} " for t in texts]
     codes = [np.frombuffer(w.encode("utf-32-le", "replace"), dtype=np.uint32) for w in words]
     owner = np.repeat(np.arange(len(texts)), [len(c) - 2 for c in codes])
     letters, place = np.unique(np.concatenate(codes), return_inverse=True)
@@ -161,7 +161,7 @@ def identify(known: dict[str, np.ndarray], docs: DataFrame, text: str = "text")
         for batch in batches:
             pred = np.full(len(batch), len(names) - 1)
             score = np.zeros(len(batch))
-            at = [i for i, t in enumerate(batch) if t and _LETTERS.search(_without_signs(t))]
+            at = [i for i, t in enumerate(batch) if t and any(map(str.isalpha, t))]
             texts = [batch.iloc[i] for i in at]
             for a, b in _blocks(texts):
                 vectors = bundle(texts[a:b])
