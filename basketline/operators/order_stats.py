@@ -117,38 +117,54 @@ def seeded_subset(
     return hashed.where(F.col("_h") < cut).unionByName(tied).drop("_h")
 
 
+def _sketch(hashes: DataFrame) -> tuple[int, list[int]]:
+    """How many hashes there are, and marks that cut them into about equal parts."""
+    grid = [k / GRID for k in range(GRID + 1)]
+    return tuple(hashes.agg(F.count("h"), F.percentile_approx("h", grid, SKETCH_ACCURACY)).first())
+
+
 def _smallest(hashes: DataFrame, n: int, exact_rows: int) -> tuple[int, int, int] | None:
     """The n-th smallest hash, how many rows with it belong to the n, and how many there are.
 
-    One pass sketches the hashes; the next counts what lies below the sketch's bracket and
-    brings what lies in it, a few thousandths, if that fits in a buffer. Only for larger
-    tables the bracket is sketched again. None when there are at most n rows.
+    One pass sketches the hashes; the next counts what lies in the sketch's bracket, a few
+    thousandths, and brings it if the marks show that it fits in a buffer: a hash of many rows
+    fills several marks. A larger bracket is sketched again, and one that does not hold the
+    rank, or is no narrower, gives way to the half of the range that does. None when there
+    are at most n rows.
     """
     h, below, low, high = F.col("h"), 0, -1, 1 << 60
     while True:
         inside = hashes.where((h >= low) & (h <= high))
-        grid = [k / GRID for k in range(GRID + 1)]
-        total, marks = inside.agg(F.count("h"), F.percentile_approx("h", grid, SKETCH_ACCURACY)).first()
+        total, marks = _sketch(inside)
         if below + total <= n:
             return None
-        place = (n - below) / total * GRID
-        step_low, step_high = marks[max(0, math.floor(place) - 1)], marks[min(GRID, math.ceil(place) + 1)]
-        if total <= exact_rows:
-            step_low, step_high = low, high
+        small = total <= exact_rows
+        step_low, step_high = low, high
+        if not small:
+            place = (n - below) / total * GRID
+            step_low = marks[max(0, math.floor(place) - 1)]
+            step_high = marks[min(GRID, math.ceil(place) + 1)]
+            parts = bisect.bisect_right(marks, step_high) - bisect.bisect_left(marks, step_low) + 1
+            small = total * parts * 1.1 / GRID <= exact_rows
         bracket = (h >= step_low) & (h <= step_high)
-        small = F.lit(total * 5 / GRID <= exact_rows)
-        values = F.sort_array(F.collect_list(F.when(bracket & small, h)))
+        values = F.sort_array(F.collect_list(F.when(bracket & F.lit(small), h)))
         under, kept, found = inside.agg(F.count_if(h < step_low), F.count_if(bracket), values).first()
         wanted = n - below - under
         if not 0 < wanted <= kept:
-            # The sketch was off; without a bracket the next round is exact or finer.
-            exact_rows = max(exact_rows, total)
-            continue
-        if found:
+            narrower = False
+        elif found:
             cut = found[wanted - 1]
             return cut, wanted - bisect.bisect_left(found, cut), found.count(cut)
-        if (step_low, step_high) == (low, high) or step_low == step_high:
-            if step_low != step_high:
-                raise ValueError("one hash is shared by too many rows")
+        elif step_low == step_high:
             return step_low, wanted, kept
-        below, low, high = below + under, step_low, step_high
+        else:
+            narrower = (step_low, step_high) != (low, high)
+        if narrower:
+            below, low, high = below + under, step_low, step_high
+            continue
+        middle = (low + high) // 2
+        lower = inside.agg(F.count_if(h <= middle)).first()[0]
+        if n - below <= lower:
+            high = middle
+        else:
+            below, low = below + lower, middle + 1

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketline.functions.hashing import seeded_rank_hash
+from basketline.operators import order_stats
 from basketline.operators.order_stats import quantile, seeded_subset, value_at_rank
 from tests.helpers import jobs_of
 
@@ -72,3 +73,23 @@ def test_a_subset_of_equal_keys(spark):
     df = spark.range(500).select(F.lit("u").alias("user_id"), (F.col("id") % 2).alias("prefix_length"))
     for n in (0, 1, 249, 251, 499, 500, 600):
         assert seeded_subset(df, n, ["user_id", "prefix_length"], exact_rows=10).count() == min(n, 500)
+
+
+@pytest.mark.parametrize("marks", [[0] * 1_001, [-1] + [1 << 60] * 1_000])
+def test_a_wrong_sketch_halves_the_range(spark, monkeypatch, marks):
+    """Marks that miss the rank, or say nothing: the cut is still exact, through the buffer of 40."""
+    hashes = spark.range(300).select(seeded_rank_hash((F.col("id") / 2).cast("long")).alias("h"))
+    want = sorted(r[0] for r in hashes.collect())
+    right = order_stats._sketch
+    monkeypatch.setattr(order_stats, "_sketch", lambda rows: (right(rows)[0], marks))
+    cut, room, at = order_stats._smallest(hashes, 101, exact_rows=40)
+    assert cut == want[100] and (room, at) == (1, 2)
+
+
+def test_the_cut_in_a_key_of_many_rows(spark):
+    """4,000 of 6,000 rows share the hash that the cut falls on, far beyond the buffer."""
+    df = spark.range(6_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"))
+    hashes = df.select(seeded_rank_hash(F.col("k")).alias("h"))
+    before = hashes.where(F.col("h") < seeded_rank_hash(F.lit(-1).cast("long"))).count()
+    cut, room, at = order_stats._smallest(hashes, before + 1_000, exact_rows=50)
+    assert (room, at) == (1_000, 4_000)
