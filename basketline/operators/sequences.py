@@ -4,11 +4,14 @@ All running values are window functions over a user's rows in time order, and al
 windows share one shuffle by user. A user too large for one task is cut into
 ordered chunks: the same windows run per chunk, and each chunk is given what came
 before it (sums, category counts, last categories) from a small per-chunk table.
-Both ways give the same rows.
+Both ways give the same rows. ``extend_samples`` goes on from a stored summary of all
+earlier histories in the same way: what was seen before is one more chunk.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from basketline.sources.categories import (
     with_category_name,
 )
 from basketline.sources.tables import with_review_defaults
+from basketline.staging import stage
 
 _VALUES = ["category_idx", "rating", "helpful_votes", "item_avg_rating", "verified_purchase"]
 _BEFORE = Window.unboundedPreceding
@@ -87,7 +91,7 @@ def sequence_samples(
     """
     events = purchase_events(reviews, categories, tie_break)
     order = ["unixReviewTime", *_tie_columns(events, tie_break)]
-    index = category_index(as_columns(categories)) if category_counts else {}
+    index = _columns_of(categories, category_counts)
     if sizes is None:
         hot = hot_keys(_timed(reviews).select("user_id"), "user_id", hot_user_rows)
     else:
@@ -95,21 +99,121 @@ def sequence_samples(
     ordinary, heavy = split_hot(events, "user_id", hot)
 
     def finish(prefixes: DataFrame, features: DataFrame | None) -> DataFrame:
-        kept = prefixes.where((F.col("prefix_length") >= min_prefix) & F.col("_next").isNotNull())
+        kept = _emitted(prefixes, min_prefix, every_k_prefix)
         if as_of is not None:
             kept = kept.where(F.col("_next.time") > as_of)
-        if every_k_prefix > 1:
-            step = F.pmod(F.col("prefix_length") - min_prefix, F.lit(every_k_prefix))
-            kept = kept.where(step == 0)
         return _sample_columns(kept, features, index, n_latest, category_spread)
 
     samples = finish(_prefixes(ordinary, order, index, n_latest), static)
     if heavy is None:
         return samples
     few = None if static is None else static.join(hot, "user_id", "left_semi")
-    return samples.unionByName(
-        finish(_chunked_prefixes(heavy, order, index, n_latest, chunk_rows), few)
+    chunked = cut_in_order(heavy, "user_id", order, chunk_rows).drop("_row")
+    return samples.unionByName(finish(_chunked_prefixes(chunked, order, index, n_latest), few))
+
+
+def _columns_of(categories: list[str], category_counts: bool) -> dict[str, int]:
+    return category_index(as_columns(categories)) if category_counts else {}
+
+
+def _emitted(prefixes: DataFrame, min_prefix: int, every_k_prefix: int) -> DataFrame:
+    """Prefixes that are long enough, have a next purchase and fall on the stride."""
+    kept = prefixes.where((F.col("prefix_length") >= min_prefix) & F.col("_next").isNotNull())
+    if every_k_prefix > 1:
+        step = F.pmod(F.col("prefix_length") - min_prefix, F.lit(every_k_prefix))
+        kept = kept.where(step == 0)
+    return kept
+
+
+# Samples of new reviews only ---------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Carry:
+    """All that later samples need of the reviews so far.
+
+    ``users`` has the last prefix of each user, with its running values, waiting for the
+    next purchase; ``counts`` the purchases per user and category.
+    """
+
+    users: DataFrame
+    counts: DataFrame
+
+
+@dataclass(frozen=True)
+class Extension:
+    """Samples that new reviews bring, the carry after them, and reviews that came too late."""
+
+    samples: DataFrame
+    carry: Carry
+    late: DataFrame
+
+
+def extend_samples(
+    reviews: DataFrame,
+    categories: list[str],
+    carry: Carry | None = None,
+    *,
+    n_latest: int = N_LATEST_CATEGORIES,
+    min_prefix: int = MIN_PREFIX_LENGTH,
+    every_k_prefix: int = 1,
+    category_counts: bool = True,
+    category_spread: bool = False,
+    tie_break: list[str] | None = None,
+    hot_user_rows: int = HOT_KEY_ROWS,
+    chunk_rows: int = HOT_CHUNK_ROWS,
+) -> Extension:
+    """The samples whose target is among ``reviews``, without reading earlier reviews again.
+
+    The samples of all batches together are those of ``sequence_samples`` over all reviews,
+    if each user's reviews come in order. A review that belongs before one already taken
+    would change samples that are out: it is left in ``late``, in the form of
+    ``purchase_events``, and enters nothing else. Rows without user or time are dropped.
+    Keep the settings and ``categories`` the same from batch to batch.
+    """
+    events = purchase_events(reviews, categories, tie_break)
+    order = ["unixReviewTime", *_tie_columns(events, tie_break)]
+    index = _columns_of(categories, category_counts)
+    batch = stage(events, "new-reviews")
+    late = batch.limit(0)
+    if carry is not None:
+        last = carry.users.select("user_id", F.struct(*order).alias("_last"))
+        placed = batch.join(last, "user_id", "left").withColumn(
+            "_late", F.coalesce(F.struct(*order) < F.col("_last"), F.lit(False))
+        )
+        checked = stage(placed.drop("_last"), "checked-reviews")
+        late = checked.where("_late").drop("_late")
+        batch = checked.where(~F.col("_late")).drop("_late")
+
+    hot = hot_keys(batch.select("user_id"), "user_id", hot_user_rows)
+    ordinary, heavy = split_hot(batch, "user_id", hot)
+    chunked = ordinary.withColumn("chunk", F.lit(0))
+    if heavy is not None:
+        chunked = chunked.unionByName(cut_in_order(heavy, "user_id", order, chunk_rows).drop("_row"))
+
+    # One small row per user of the batch: its first new purchase.
+    first = chunked.groupBy("user_id").agg(F.min_by(_following(), F.struct(*order)).alias("_next"))
+    earlier = waiting = None
+    if carry is not None:
+        waiting = carry.users.drop("_next").join(first, "user_id")
+        known = carry.counts.join(first.select("user_id"), "user_id", "left_semi")
+        earlier = Carry(waiting, known)
+    state = ["user_id", *[c for c in chunked.columns if c not in ("user_id", "chunk")]]
+    state += [*_additive(index), "_first_time", "_favourite", "_spread", "_next"]
+    state += [*[f"_back_{k}" for k in range(1, n_latest)], "prefix_length"]
+    prefixes = stage(
+        _chunked_prefixes(chunked, order, index, n_latest, earlier).select(*state), "new-prefixes"
     )
+    users = prefixes.where(F.col("_next").isNull())
+    counts = batch.groupBy("user_id", "category_idx").agg(F.count(F.lit(1)).alias("_n"))
+    if carry is not None:
+        users = users.unionByName(carry.users.join(first, "user_id", "left_anti"))
+        prefixes = prefixes.unionByName(waiting)
+        both = carry.counts.unionByName(counts)
+        counts = both.groupBy("user_id", "category_idx").agg(F.sum("_n").alias("_n"))
+    emitted = _emitted(prefixes, min_prefix, every_k_prefix)
+    samples = _sample_columns(emitted, None, index, n_latest, category_spread)
+    return Extension(samples, Carry(users, counts), late)
 
 
 # Running values -------------------------------------------------------------
@@ -130,6 +234,11 @@ def _additive(index: dict[str, int]) -> dict[str, Column]:
     }
 
 
+def _following() -> Column:
+    """What a sample needs of the purchase after its prefix."""
+    return F.struct("category_idx", "category", F.col("unixReviewTime").alias("time"))
+
+
 def _rank_of(count: Column) -> Column:
     """Orders categories by count, the smaller index first among equals."""
     return F.struct(count.alias("count"), (-F.col("category_idx")).alias("neg_idx"))
@@ -144,14 +253,13 @@ def _running(df: DataFrame, keys: list[str], order: list[str], index, n_latest:
     """Running sums, first time, neighbours; ``_in_category`` must be there already."""
     rows = Window.partitionBy(*keys).orderBy(*order)
     run = rows.rowsBetween(_BEFORE, Window.currentRow)
-    following = F.struct("category_idx", "category", F.col("unixReviewTime").alias("time"))
     return df.select(
         "*",
         *[F.sum(value).over(run).alias(name) for name, value in _additive(index).items()],
         F.min("unixReviewTime").over(run).alias("_first_time"),
         F.max(_rank_of(F.col("_in_category"))).over(run).alias("_favourite"),
         F.sum(_growth(F.col("_in_category") - 1, F.col("_in_category"))).over(run).alias("_spread"),
-        F.lead(following).over(rows).alias("_next"),
+        F.lead(_following()).over(rows).alias("_next"),
         *[F.lag("category_idx", k).over(rows).alias(f"_back_{k}") for k in range(1, n_latest)],
     )
 
@@ -173,12 +281,11 @@ def _prefixes(events: DataFrame, order: list[str], index, n_latest: int) -> Data
 
 
 def _chunked_prefixes(
-    events: DataFrame, order: list[str], index, n_latest: int, chunk_rows: int
+    chunked: DataFrame, order: list[str], index, n_latest: int, carry: Carry | None = None
 ) -> DataFrame:
-    chunked = cut_in_order(events, "user_id", order, chunk_rows).drop("_row")
     keys = ["user_id", "chunk"]
-    past_counts, past_summary = _past_categories(chunked)
-    past = _past_sums(chunked, order, index, n_latest).join(past_summary, keys, "left")
+    past_counts, past_summary = _past_categories(chunked, carry)
+    past = _past_sums(chunked, order, index, n_latest, carry).join(past_summary, keys, "left")
 
     placed = chunked.repartition(*keys)
     counted = placed.withColumn("_in_chunk", _count_in_category(keys, order))
@@ -201,15 +308,20 @@ def _chunked_prefixes(
     return local.withColumns(merged)
 
 
-def _past_sums(chunked: DataFrame, order: list[str], index, n_latest: int) -> DataFrame:
+#: The chunk of what was seen before the first one.
+_CARRIED = -1
+
+
+def _past_sums(
+    chunked: DataFrame, order: list[str], index, n_latest: int, carry: Carry | None
+) -> DataFrame:
     """Per chunk: sums, first time and last categories of all earlier chunks, and the
     first row of the next one. One row per chunk, so its windows are small."""
     position = F.struct(*order)
-    head = F.struct("category_idx", "category", F.col("unixReviewTime").alias("time"))
     totals = chunked.groupBy("user_id", "chunk").agg(
         *[F.sum(value).alias(name) for name, value in _additive(index).items()],
         F.min("unixReviewTime").alias("_first_time"),
-        F.min_by(head, position).alias("_head"),
+        F.min_by(_following(), position).alias("_head"),
     )
     chunks = Window.partitionBy("user_id").orderBy("chunk")
     earlier = chunks.rowsBetween(_BEFORE, -1)
@@ -218,6 +330,14 @@ def _past_sums(chunked: DataFrame, order: list[str], index, n_latest: int) -> Da
     columns.append(F.lead("_head").over(chunks).alias("_next_head"))
     if n_latest > 1:
         totals = totals.join(_last_categories(chunked, order, n_latest), ["user_id", "chunk"])
+    if carry is not None:
+        backwards = [F.col("category_idx"), *[F.col(f"_back_{k}") for k in range(1, n_latest - 1)]]
+        before = carry.users.withColumn("chunk", F.lit(_CARRIED)).withColumn(
+            "_latest", F.array_compact(F.array(*backwards))
+        )
+        names = [c for c in totals.columns if c != "_head"]
+        totals = totals.unionByName(before.select(*names), allowMissingColumns=True)
+    if n_latest > 1:
         recent = F.collect_list("_latest").over(chunks.rowsBetween(-(n_latest - 1), -1))
         newest_first = F.flatten(F.reverse(recent))
         columns.append(newest_first.alias("_past_latest"))
@@ -236,11 +356,13 @@ def _last_categories(chunked: DataFrame, order: list[str], n_latest: int) -> Dat
     )
 
 
-def _past_categories(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _past_categories(chunked: DataFrame, carry: Carry | None) -> tuple[DataFrame, DataFrame]:
     """Counts of a chunk's categories before the chunk; favourite and spread before it."""
     per_category = chunked.groupBy("user_id", "chunk", "category_idx").agg(
         F.count(F.lit(1)).alias("_n")
     )
+    if carry is not None:
+        per_category = per_category.unionByName(carry.counts.withColumn("chunk", F.lit(_CARRIED)))
     by_category = Window.partitionBy("user_id", "category_idx").orderBy("chunk")
     counts = per_category.withColumn(
         "_past_in_category", F.coalesce(F.sum("_n").over(by_category.rowsBetween(_BEFORE, -1)), F.lit(0))

@@ -10,6 +10,8 @@ from basketline.operators.sequences import sequence_samples
 from basketline.plans import driver_tables as tables
 from basketline.plans.registry import query, rounded
 from basketline.sources.categories import categories_in, with_category_index
+from basketline.staging import scratch_path
+from basketline.streaming.growing_sequences import SequenceStore
 
 SAMPLES_SQL = f"""
 {tables.EVENT_REVIEWS_SQL}, {tables.ITEMS_SQL}, {tables.EVENT_CATEGORIES_SQL},
@@ -300,3 +302,23 @@ def seq_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         samples.select("user_id", "prefix_length", "past_purchases", "past_categories", "past_avg_rating")
     )
+
+
+@query("seq_incremental", f"WITH {SAMPLES_SQL} SELECT {ALL_COLUMNS_SQL} FROM s")
+def seq_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full row again, the reviews coming in three batches, the second one twice."""
+    reviews = tables.described_event_reviews(spark, sf_dir)
+    time = F.col("unixReviewTime")
+    low, high = tables.event_reviews(spark, sf_dir).agg(F.min(time), F.max(time)).first()
+    third = (high - low) // 3
+    parts = [
+        time < low + third,
+        (time >= low + third) & (time < low + 2 * third),
+        time >= low + 2 * third,
+    ]
+    store = SequenceStore(
+        spark, scratch_path(spark, "growing"), event_categories(spark, sf_dir), tie_break=["event_id"]
+    )
+    for n in (0, 1, 1, 2):
+        store.append(reviews.where(parts[n]), n)
+    return rounded(store.samples())
