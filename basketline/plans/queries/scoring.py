@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketline.operators import counting, scoring
+from basketline.operators import counting, scoring, sketches
 from basketline.plans import driver_tables as tables
 from basketline.plans.registry import query, rounded
 from basketline.sources import tables as stage_tables
@@ -138,3 +139,44 @@ def top_users_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("distinct_users", f"WITH {LI} SELECT DISTINCT user_id FROM li")
 def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_reviews(spark, sf_dir).select("user_id").distinct()
+
+
+@query(
+    "distinct_users_sketch",
+    f"""WITH {LI}, sets AS (
+      SELECT category, user_id FROM li UNION ALL SELECT 'all', user_id FROM li
+      UNION ALL SELECT 'from Brand#3', user_id FROM li WHERE category >= 'Brand#3')
+    SELECT category, count(*) AS n_reviews, count(DISTINCT user_id) AS n_users,
+      TRUE AS error_below_2_percent
+    FROM sets GROUP BY category""",
+)
+def distinct_users_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users per category, of all and of some categories, from stored sketches of two parts."""
+    reviews = tables.order_reviews(spark, sf_dir)
+    odd = F.col("l_orderkey") % 2 == 1
+    parts = [sketches.user_sketches(reviews.where(p), ["category"]) for p in (odd, ~odd)]
+    stored = scoring.stage(parts[0].unionByName(parts[1]), "user-sketches")
+    some = stored.where(F.col("category") >= "Brand#3")
+
+    def named(table: DataFrame, name: str) -> DataFrame:
+        return sketches.merged(table, []).withColumn("category", F.lit(name))
+
+    estimated = (
+        sketches.merged(stored, ["category"])
+        .unionByName(named(stored, "all"))
+        .unionByName(named(some, "from Brand#3"))
+        .select("category", "n_reviews", sketches.n_users().alias("estimate"))
+    )
+    pairs = reviews.select("category", "user_id").distinct()
+    exact = (
+        pairs.unionByName(pairs.select("user_id").distinct().withColumn("category", F.lit("all")))
+        .unionByName(
+            pairs.where(F.col("category") >= "Brand#3").select("user_id").distinct()
+            .withColumn("category", F.lit("from Brand#3"))
+        )
+        .groupBy("category").agg(F.count("user_id").alias("n_users"))
+    )
+    close = F.abs(F.col("estimate") - F.col("n_users")) < 0.02 * F.col("n_users")
+    return estimated.join(exact, "category").select(
+        "category", "n_reviews", "n_users", close.alias("error_below_2_percent")
+    )
