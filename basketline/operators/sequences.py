@@ -79,6 +79,7 @@ def sequence_samples(
     chunk_rows: int = HOT_CHUNK_ROWS,
     sizes: DataFrame | None = None,
     as_of: int | None = None,
+    by_user: bool = False,
 ) -> DataFrame:
     """Samples for every prefix of at least ``min_prefix`` purchases with a next one.
 
@@ -88,6 +89,8 @@ def sequence_samples(
     ``category_spread`` adds the largest category count of the prefix and the sum of
     ``n ln n`` over its category counts: two columns for any number of categories.
     ``as_of`` keeps only prefixes whose next purchase is later than that time.
+    ``by_user`` says that the reviews are a table in buckets by user (``write_bucketed``), so
+    that only users cut into chunks are shuffled; so is ``static`` if it has as many buckets.
     """
     events = purchase_events(reviews, categories, tie_break)
     order = ["unixReviewTime", *_tie_columns(events, tie_break)]
@@ -104,7 +107,7 @@ def sequence_samples(
             kept = kept.where(F.col("_next.time") > as_of)
         return _sample_columns(kept, features, index, n_latest, category_spread)
 
-    samples = finish(_prefixes(ordinary, order, index, n_latest), static)
+    samples = finish(_prefixes(ordinary, order, index, n_latest, by_user), static)
     if heavy is None:
         return samples
     few = None if static is None else static.join(hot, "user_id", "left_semi")
@@ -270,8 +273,10 @@ def _count_in_category(keys: list[str], order: list[str]) -> Column:
     return F.count(F.lit(1)).over(rows.rowsBetween(_BEFORE, Window.currentRow))
 
 
-def _prefixes(events: DataFrame, order: list[str], index, n_latest: int) -> DataFrame:
-    placed = events.repartition("user_id")
+def _prefixes(
+    events: DataFrame, order: list[str], index, n_latest: int, by_user: bool = False
+) -> DataFrame:
+    placed = events if by_user else events.repartition("user_id")
     counted = placed.withColumn("_in_category", _count_in_category(["user_id"], order))
     running = _running(counted, ["user_id"], order, index, n_latest)
     return running.withColumn("prefix_length", F.col("_rows").cast("int"))

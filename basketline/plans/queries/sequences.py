@@ -10,6 +10,7 @@ from basketline.operators.sequences import sequence_samples
 from basketline.plans import driver_tables as tables
 from basketline.plans.registry import query, rounded
 from basketline.sources.categories import categories_in, with_category_index
+from basketline.sources.tables import write_bucketed
 from basketline.staging import scratch_path
 from basketline.streaming.growing_sequences import SequenceStore
 
@@ -197,6 +198,33 @@ def seq_with_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "seq_bucketed",
+    f"""WITH {SAMPLES_SQL}, {STATIC_SQL}
+    SELECT s.user_id, prefix_length, prefix_timespan, prefix_most_freq_category_idx,
+      total_purchases, distinct_categories, target_category_idx
+    FROM s LEFT JOIN totals ON s.user_id = totals.user_id""",
+)
+def seq_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and the join of static features over two tables in buckets by user."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stored(table: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        return write_bucketed(table, f"{label}_{path.rsplit('-', 1)[1]}", path, buckets)
+
+    reviews = stored(tables.event_reviews(spark, sf_dir), "reviews")
+    totals = stored(event_totals(spark, sf_dir), "totals")
+    samples = sequence_samples(
+        reviews, event_categories(spark, sf_dir), totals, category_counts=False,
+        tie_break=["event_id"], sizes=totals, by_user=True,
+    )
+    return samples.select(
+        "user_id", "prefix_length", "prefix_timespan", "prefix_most_freq_category_idx",
+        "total_purchases", "distinct_categories", "target_category_idx",
+    )
+
+
 @query("seq_full_row", f"WITH {SAMPLES_SQL} SELECT {ALL_COLUMNS_SQL} FROM s")
 def seq_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(event_samples(spark, sf_dir, described=True, category_counts=True))

@@ -72,6 +72,26 @@ def write_by_user_bucket(df: DataFrame, path: str, buckets: int = USER_BUCKETS)
     )
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, buckets: int, sort_by: tuple[str, ...] = (), key: str = "user_id"
+) -> DataFrame:
+    """Store rows in ``buckets`` files by ``key`` as the catalog table ``name``, and scan it.
+
+    Windows and joins on the key then need no shuffle, as often as the table is read; tables
+    joined must have the same number of buckets. One task writes, and later reads, a bucket:
+    choose enough of them, and cut keys beyond that (``skew``). A null key has one bucket.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, key)
+        .sortBy(key, *sort_by)
+        .saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketline.operators.derived import linear_features
 from basketline.operators.sequences import sequence_samples
+from basketline.sources.tables import write_bucketed
 from tests.helpers import as_set, brute_force_samples, jobs_of, physical_plan, rows, same
 
 NAMES = ["a", "b", "Unknown", "c"]
@@ -223,3 +224,25 @@ def test_category_spread_of_thousands_of_categories(spark):
         assert row["prefix_cat_dom_ratio"] == pytest.approx(max(counts.values()) / n)
         assert row["prefix_cat_entropy_dynamic"] == pytest.approx(entropy, abs=1e-10)
         assert row["prefix_cat_norm_entropy_dynamic"] == pytest.approx(entropy / math.log(3_000), abs=1e-10)
+
+
+def test_tables_in_buckets_need_no_shuffle(spark, tmp_path):
+    """Same samples; both windows and the static join read the buckets as they lie."""
+    events = history(9, users=8, longest=15)
+    df = spark.createDataFrame(events, SCHEMA)
+    static = spark.createDataFrame([("u0", 7), ("u1", 8), (None, 9)], "user_id string, total_purchases int")
+    reviews = write_bucketed(df, "bucketed_reviews", str(tmp_path / "r"), 4, ("unixReviewTime",))
+    described = write_bucketed(static, "bucketed_static", str(tmp_path / "s"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        options = {"tie_break": ["tie"], "sizes": described}
+        samples = sequence_samples(reviews, NAMES, described, by_user=True, **options)
+        plan = physical_plan(samples)
+        found = sorted(map(repr, rows(samples)))
+        plain = sequence_samples(df, NAMES, static, **options)
+        assert found == sorted(map(repr, rows(plain, *samples.columns))) and found
+        assert "hashpartitioning" not in plan and "hashpartitioning" in physical_plan(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_reviews")
+        spark.sql("DROP TABLE bucketed_static")
