@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketline import config
 from basketline.operators import learning, trees
 
 from .helpers import jobs_of, rows
@@ -56,12 +57,14 @@ def test_tree_by_brute_force(crossed, monkeypatch, local):
 
 
 def test_passes_do_not_grow_with_nodes(spark, crossed):
-    """A node that fits in a task costs no pass of its own."""
+    """A node that fits in a task costs no pass of its own, and a pass no more tasks for more rows."""
     jobs, nodes = [], []
     for leaf in (400, 5):
         jobs.append(jobs_of(spark, lambda leaf=leaf: nodes.append(learning.fit(crossed, stages(), learning.decision_tree(min_leaf=leaf)))))
     few, many = (m.stages[-2].node_counts[0] for m in nodes)
     assert many > 4 * few and jobs[0] == jobs[1]
+    assert learning.training_partitions(10**9) == config.FIT_PARTITIONS
+    assert learning.training_partitions(0) == 1 and learning.training_partitions(25_000) == 3
 
 
 @pytest.mark.parametrize("local", [200, 10_000])
