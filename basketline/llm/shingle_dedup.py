@@ -109,6 +109,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def same(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([alike(shingles(a), shingles(b)) for a, b in zip(left, right, strict=True)], dtype=bool)
 
+    # Texts in no pair stay out of the shuffles.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(stage(ends, "ends"), "node", "left_semi")
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
     return stage(pairs.where(same("text_a", "text_b")).select("a", "b"), "near-copies")
