@@ -33,15 +33,17 @@ from pyspark.sql import functions as F
 
 from basketline.operators.boosting import binned, quantile_edges
 
-#: Rows of a node, with copies, up to which one task grows what is below it.
+#: Rows of a node, with copies, up to which one task grows what is below it; as often for a forest as it
+#: has trees to a ``LOCAL_TREES``, as many trees keep all tasks busy with larger nodes.
 LOCAL_ROWS = 50_000
+LOCAL_TREES = 10
 #: Tasks at most that grow small nodes.
 LOCAL_TASKS = 1_000
 _STATE = "block long, bins binary, label binary, weight binary"
 _SUMS = "tree int, node int, sums binary"
 _BEST = "tree int, node int, feature int, cut int, left binary, right binary"
 _ROWS = "tree int, node int, bins binary, label binary, weight binary, copies binary"
-_GROWN = "tree int, node int, feature binary, cut binary, left binary, stats binary"
+_GROWN = "tree int, node int, feature binary, cut binary, left binary, weights binary"
 
 
 class Nodes:
@@ -70,13 +72,15 @@ class Nodes:
 
 def walked(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The node in which each row ends."""
-    node = np.zeros(len(bins), dtype=np.int32)
-    rows = np.arange(len(bins)) if feature[0] >= 0 else np.zeros(0, dtype=np.int64)
+    node, flat, width = np.zeros(len(bins), dtype=np.int64), bins.ravel(), bins.shape[1]
+    rows, at = np.arange(len(bins)), node
     while len(rows):
-        at = node[rows]
-        at = left[at] + (bins[rows, feature[at]] > cut[at])
-        node[rows] = at
-        rows = rows[feature[at] >= 0]
+        f = feature.take(at)
+        inner = f >= 0
+        if not inner.all():
+            node[rows[~inner]] = at[~inner]
+            rows, at, f = rows[inner], at[inner], f[inner]
+        at = left.take(at) + (flat.take(rows * width + f) > cut.take(at))
     return node
 
 
@@ -90,6 +94,15 @@ class _Limits:
     looked_at: int
     seed: int
     bagged: bool
+    weighted: bool = True
+
+    @property
+    def bin_kind(self) -> type:
+        return np.uint8 if max(self.sizes) <= 256 else np.uint16
+
+    @property
+    def label_kind(self) -> type:
+        return np.uint8 if self.n_classes <= 256 else np.int32
 
     def looks(self, *key: int, n: int = 1) -> np.ndarray:
         """Which features each of ``n`` nodes looks at."""
@@ -129,64 +142,101 @@ def _added(slot: np.ndarray, bins: np.ndarray, label: np.ndarray, weight: np.nda
     return out.reshape(n, size, classes + 1)
 
 
-def grown(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.ndarray, limits: _Limits, depth: int, key: tuple[int, ...]) -> Nodes:
-    """All that is below a node at ``depth``, level by level. ``weight`` has the copies in it."""
-    stats = np.append(np.bincount(label, weight, limits.n_classes), copies.sum())
-    out = Nodes(stats)
-    open_, slot, rows = [0], np.zeros(len(label), dtype=np.int64), np.arange(len(label))
-    if limits.closed(stats, depth):
-        return out
-    while open_:
-        n, total = len(open_), np.array([out.stats[i] for i in open_])
-        looks = limits.looks(*key, depth, n=n)
-        best, feature, cut = np.full(n, 0.0), np.full(n, -1), np.zeros(n, dtype=np.int64)
-        sides = np.zeros_like(total)
-        at, y, w, c = slot[rows], label[rows], weight[rows], copies[rows]
-        for f, size in enumerate(limits.sizes):
-            if looks[:, f].all():
-                sums = _added(at, bins[rows, f], y, w, c, (n, size, limits.n_classes))
-            else:
-                used = np.flatnonzero(looks[at, f])
-                sums = _added(at[used], bins[rows[used], f], y[used], w[used], c[used], (n, size, limits.n_classes))
-            # Only bins with rows end a side.
-            s, b = np.nonzero(sums[:, :, -1])
-            if not len(s):
-                continue
-            cells = np.cumsum(sums[s, b], axis=0)
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            before = np.zeros((n, cells.shape[1]))
-            before[s[first[1:]]] = cells[first[1:] - 1]
-            left = cells - before[s]
-            gain = _gains(left, total[s], limits.min_leaf)
-            top = np.maximum.reduceat(gain, first)
-            hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[first, len(s)])))
-            hit = hit[np.r_[True, s[hit[1:]] != s[hit[:-1]]]]
-            better = hit[gain[hit] > best[s[hit]] + 1e-9]
-            own = s[better]
-            best[own], feature[own], cut[own], sides[own] = gain[better], f, b[better], left[better]
-        next_, to = [], np.full((n, 2), -1)
-        for i in np.flatnonzero(feature >= 0):
-            parts = [sides[i], total[i] - sides[i]]
-            for side, child in enumerate(out.split(open_[i], int(feature[i]), int(cut[i]), parts)):
-                if not limits.closed(parts[side], depth + 1):
-                    to[i, side] = len(next_)
-                    next_.append(child)
-        moved = to[at, (bins[rows, feature[at]] > cut[at]).astype(np.int64)]
-        slot[rows] = moved
-        rows, open_, depth = rows[moved >= 0], next_, depth + 1
-    return out
+def _cells(key: np.ndarray, n_keys: int, label: np.ndarray, weight: np.ndarray, copies: np.ndarray | None, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys with rows, in order, and [class weights and rows, key] of each; ``weight`` counts rows without ``copies``."""
+    seen = np.zeros(n_keys, dtype=bool)
+    seen[key] = True
+    keys = np.flatnonzero(seen)
+    place = np.empty(n_keys, dtype=np.int64)
+    place[keys] = np.arange(len(keys))
+    cell, n = place.take(key), len(keys)
+    sums = np.empty((n_classes + 1, n))
+    sums[:-1] = np.bincount(label * n + cell, weight, n_classes * n).reshape(n_classes, n)
+    sums[-1] = sums[:-1].sum(axis=0) if copies is None else np.bincount(cell, copies, n)
+    return keys, sums
+
+
+def _best_cells(keys: np.ndarray, sums: np.ndarray, total: np.ndarray, n_bins: int, min_leaf: int) -> tuple[np.ndarray, ...]:
+    """Slots with rows, and the gain, bin and left side of the best split of each."""
+    slot, own = np.divmod(keys, n_bins)
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    length = np.diff(np.r_[first, len(slot)])
+    left = np.cumsum(sums, axis=1)
+    left -= np.repeat(np.concatenate([np.zeros((len(left), 1)), left[:, first[1:] - 1]], axis=1), length, axis=1)
+    found = slot[first]
+    whole = total[:, found]
+    base = (whole[:-1] ** 2).sum(axis=0) / np.maximum(whole[:-1].sum(axis=0), 1e-300)
+    whole = np.repeat(whole, length, axis=1)
+    right = whole - left
+    gain = np.square(left[:-1]).sum(axis=0) / np.maximum(left[:-1].sum(axis=0), 1e-300)
+    gain += np.square(right[:-1]).sum(axis=0) / np.maximum(right[:-1].sum(axis=0), 1e-300)
+    gain -= np.repeat(base, length)
+    gain[np.minimum(left[-1], right[-1]) < min_leaf] = -np.inf
+    top = np.maximum.reduceat(gain, first)
+    hit = np.flatnonzero(gain == np.repeat(top, length))
+    hit = hit[np.r_[True, slot[hit[1:]] != slot[hit[:-1]]]]
+    return found, top, own[hit], left[:, hit]
+
+
+def grown(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.ndarray, limits: _Limits, depth: int, key: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """All that is below a node at ``depth``, level by level, as ``Nodes.frozen`` has it. ``weight`` has the copies in it."""
+    n_bins, classes = max(limits.sizes), limits.n_classes
+    total = np.append(np.bincount(label, weight, classes), copies.sum())[:, None]
+    stats, links, size = [total.T], [], 1
+    label = label.astype(np.int64)
+    many = None if np.array_equal(weight, copies) else copies
+    flat, width = bins.ravel(), bins.shape[1]
+    slot, rows, open_ = np.zeros(len(label), dtype=np.int64), np.arange(len(label)), np.zeros(1, dtype=np.int64)
+    if limits.closed(total[:, 0], depth):
+        open_ = open_[:0]
+    while len(open_):
+        n = len(open_)
+        # The features that each node looks at, in order.
+        looks = np.nonzero(limits.looks(*key, depth, n=n))[1].reshape(n, -1)
+        best, feature, cut, sides = np.zeros(n), np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros_like(total)
+        y, w, c, start = label[rows], weight[rows], None if many is None else many[rows], slot * n_bins
+        at = rows * width
+        for f in looks.T:
+            keys, sums = _cells(start + flat.take(at + f.take(slot)), n * n_bins, y, w, c, classes)
+            own, gain, b, left = _best_cells(keys, sums, total, n_bins, limits.min_leaf)
+            better = gain > best[own] + 1e-9
+            own = own[better]
+            best[own], feature[own], cut[own], sides[:, own] = gain[better], f[own], b[better], left[:, better]
+        split = np.flatnonzero(feature >= 0)
+        below = np.empty((len(total), len(split), 2))
+        below[:, :, 0], below[:, :, 1] = sides[:, split], total[:, split] - sides[:, split]
+        below = below.reshape(len(total), -1)
+        children = size + np.arange(below.shape[1])
+        links.append((open_[split], feature[split], cut[split], children[::2]))
+        stats.append(below.T)
+        size, depth = size + len(children), depth + 1
+        alive = (below[-1] >= 2 * limits.min_leaf) & (np.count_nonzero(below[:-1], axis=0) > 1) & (depth < limits.max_depth)
+        to = np.full((n, 2), -1)
+        to[split] = np.where(alive, np.cumsum(alive) - 1, -1).reshape(-1, 2)
+        moved = to.ravel().take(2 * slot + (flat.take(at + feature.take(slot)) > cut.take(slot)))
+        kept = np.flatnonzero(moved >= 0)
+        slot, open_, total = moved[kept], children[alive], below[:, alive]
+        # Rows of a node lie together, so that counting stays in the cache.
+        order = np.argsort(slot.astype(np.uint16) if len(open_) < 1 << 16 else slot, kind="stable")
+        rows, slot = rows[kept[order]], slot[order]
+    parts = [np.full(size, -1, dtype=np.int16), np.zeros(size, dtype=np.int16), np.zeros(size, dtype=np.int32)]
+    for node, *values in links:
+        for part, value in zip(parts, values, strict=True):
+            part[node] = value
+    return (*parts, np.concatenate(stats))
 
 
 # Passes --------------------------------------------------------------------------
 
 
-def _first_state(edges: list[np.ndarray], sizes: list[int]):
+def _first_state(edges: list[np.ndarray], limits: _Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             if batch.num_rows:
                 values = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
-                parts = binned(values, edges, sizes), batch["label"].to_numpy().astype(np.int32), batch["weight"].to_numpy()
+                bins, label = binned(values, edges, limits.sizes), batch["label"].to_numpy()
+                parts = bins.astype(limits.bin_kind), label.astype(limits.label_kind), batch["weight"].to_numpy()
                 columns = [pa.array([block], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "bins", "label", "weight"])
                 block += 1
@@ -194,11 +244,11 @@ def _first_state(edges: list[np.ndarray], sizes: list[int]):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], limits: _Limits) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for row in batch.to_pylist():
-            bins = np.frombuffer(row["bins"], dtype=np.uint16).reshape(-1, n_features)
-            yield row["block"], bins, np.frombuffer(row["label"], dtype=np.int32), np.frombuffer(row["weight"])
+            bins = np.frombuffer(row["bins"], dtype=limits.bin_kind).reshape(-1, len(limits.sizes))
+            yield row["block"], bins, np.frombuffer(row["label"], dtype=limits.label_kind), np.frombuffer(row["weight"])
 
 
 def _reached(blocks: list, tree: int, nodes: tuple, open_: list[int], limits: _Limits) -> Iterator[tuple]:
@@ -216,7 +266,7 @@ def _histograms(trees: dict[int, tuple], open_: dict[int, list[int]], limits: _L
     starts = np.cumsum([0, *limits.sizes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = list(_blocks(batches, len(limits.sizes)))
+        blocks = list(_blocks(batches, limits))
         for tree, nodes in trees.items():
             looks = np.concatenate([limits.looks(tree, node) for node in open_[tree]])
             parts = [np.concatenate(x) for x in zip(*_reached(blocks, tree, nodes, open_[tree], limits), strict=True)]
@@ -225,7 +275,7 @@ def _histograms(trees: dict[int, tuple], open_: dict[int, list[int]], limits: _L
             slot, bins, label, weight, copies = parts
             sums = np.zeros((len(looks), starts[-1], limits.n_classes + 1))
             for f, size in enumerate(limits.sizes):
-                used = np.flatnonzero(looks[slot, f])
+                used = np.flatnonzero(looks[:, f].take(slot))
                 own = slot[used], bins[used, f], label[used], weight[used], copies[used]
                 sums[:, starts[f] : starts[f + 1]] = _added(*own, (len(looks), size, limits.n_classes))
             kept = [sums[i, np.repeat(looks[i], limits.sizes)].tobytes() for i in range(len(looks))]
@@ -260,7 +310,7 @@ def _rows_of(trees: dict[int, tuple], open_: dict[int, list[int]], limits: _Limi
     """The rows of small nodes, a packed row for each node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = list(_blocks(batches, len(limits.sizes)))
+        blocks = list(_blocks(batches, limits))
         for tree, nodes in trees.items():
             parts = [np.concatenate(x) for x in zip(*_reached(blocks, tree, nodes, open_[tree], limits), strict=True)]
             if not parts or not len(parts[0]):
@@ -271,20 +321,31 @@ def _rows_of(trees: dict[int, tuple], open_: dict[int, list[int]], limits: _Limi
             found = [open_[tree][s] for s in slot[starts]]
             bounds = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(slot)], strict=True)]
             columns = [pa.array([tree] * len(found), pa.int32()), pa.array(found, pa.int32())]
+            if not limits.weighted:
+                kept[2] = np.zeros(0)
             columns += [pa.array([p[b].tobytes() for b in bounds], pa.binary()) for p in kept]
             yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "bins", "label", "weight", "copies"])
 
     return run
 
 
+def _narrow(weights: np.ndarray) -> np.ndarray:
+    """In half the bytes, if that loses nothing."""
+    half = weights.astype(np.float32)
+    return half if np.array_equal(half, weights) else weights
+
+
 def _grown(depths: dict[tuple[int, int], int], limits: _Limits):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         key = tuple(x.as_py() for x in key)
-        kinds = {"bins": np.uint16, "label": np.int32, "weight": np.float64, "copies": np.uint8}
-        bins, *rest = (np.frombuffer(b"".join(rows[c].to_pylist()), dtype=k) for c, k in kinds.items())
-        below = grown(bins.reshape(-1, len(limits.sizes)), *rest, limits, depths[key], key).frozen()
+        kinds = {"bins": limits.bin_kind, "label": limits.label_kind, "weight": np.float64, "copies": np.uint8}
+        bins, label, weight, copies = (np.frombuffer(b"".join(rows[c].to_pylist()), dtype=k) for c, k in kinds.items())
+        # Without row weights, a row weighs as much as it has copies.
+        weight = weight if limits.weighted else copies.astype(np.float64)
+        *links, stats = grown(bins.reshape(-1, len(limits.sizes)), label, weight, copies, limits, depths[key], key)
+        below = *links, _narrow(stats[links[0] < 0, :-1])
         columns = [pa.array([k], pa.int32()) for k in key] + [pa.array([x.tobytes()], pa.binary()) for x in below]
-        return pa.table(columns, names=["tree", "node", "feature", "cut", "left", "stats"])
+        return pa.table(columns, names=["tree", "node", "feature", "cut", "left", "weights"])
 
     return run
 
@@ -304,7 +365,7 @@ class GrownTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             self._set(payload=payload)
 
     def _parts(self) -> tuple[list[np.ndarray], list[tuple[np.ndarray, ...]]]:
-        """Bin edges of each feature; of each tree feature, cut, left and the class shares of leaves, at ``left``."""
+        """Bin edges of each feature; of each tree feature, cut, left and the class weights of leaves, at ``left``."""
         with np.load(io.BytesIO(base64.b64decode(self.getOrDefault(self.payload)))) as packed:
             parts = dict(packed)
         edges = np.split(parts["edges"], np.cumsum(parts["n_edges"])[:-1])
@@ -325,8 +386,9 @@ class GrownTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             for batch in batches:
                 bins = binned(batch.flatten().to_numpy().reshape(len(batch), len(sizes)), edges, sizes)
                 total = np.zeros((len(batch), n_classes))
-                for feature, cut, left, shares in trees:
-                    total += shares[left[walked(bins, feature, cut, left)]]
+                for feature, cut, left, weights in trees:
+                    own = weights[left[walked(bins, feature, cut, left)]].astype(np.float64)
+                    total += own / np.maximum(own.sum(axis=1, keepdims=True), 1e-300)
                 ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n_classes)
                 yield pa.ListArray.from_arrays(ends, pa.array((total / len(trees)).ravel()))
 
@@ -356,8 +418,8 @@ class GrownTrees:
         edges = quantile_edges(rows, list(range(n_features)), self.max_bins)
         sizes = [len(e) + 1 for e in edges]
         looked_at = math.ceil(math.sqrt(n_features)) if self.bagged else n_features
-        limits = _Limits(sizes, n_classes, self.min_leaf, self.max_depth, looked_at, self.seed, self.bagged)
-        state = rows.mapInArrow(_first_state(edges, sizes), _STATE).persist()
+        limits = _Limits(sizes, n_classes, self.min_leaf, self.max_depth, looked_at, self.seed, self.bagged, self.weighted)
+        state = rows.mapInArrow(_first_state(edges, limits), _STATE).persist()
         try:
             trees, small = self._large(state, limits, rows.count())
             below = self._below(state, trees, small, limits)
@@ -369,7 +431,8 @@ class GrownTrees:
         """The trees down to small nodes, and of each tree these nodes with their depths."""
         unknown = np.append(np.ones(limits.n_classes), n_rows)
         trees, small = [Nodes(unknown) for _ in range(self.trees)], {}
-        if n_rows <= LOCAL_ROWS:
+        local = LOCAL_ROWS * max(1, self.trees // LOCAL_TREES)
+        if n_rows <= local:
             return trees, {t: {0: 0} for t in range(self.trees)}
         open_, depth = {t: [0] for t in range(self.trees)}, 0
         while open_:
@@ -384,7 +447,7 @@ class GrownTrees:
                 for child, stats in zip(trees[row["tree"]].split(row["node"], row["feature"], row["cut"], sides), sides, strict=True):
                     if limits.closed(stats, depth):
                         continue
-                    if stats[-1] > LOCAL_ROWS:
+                    if stats[-1] > local:
                         next_.setdefault(row["tree"], []).append(child)
                     else:
                         small.setdefault(row["tree"], {})[child] = depth
@@ -402,8 +465,10 @@ class GrownTrees:
         out: dict[int, dict[int, tuple]] = {}
         for row in placed.groupBy("tree", "node").applyInArrow(_grown(depths, limits), _GROWN).collect():
             feature, cut = (np.frombuffer(row[n], dtype=np.int16) for n in ("feature", "cut"))
-            left, stats = np.frombuffer(row["left"], dtype=np.int32), np.frombuffer(row["stats"]).reshape(len(feature), -1)
-            out.setdefault(row["tree"], {})[row["node"]] = feature, cut, left, stats
+            left, leaves = np.frombuffer(row["left"], dtype=np.int32), np.count_nonzero(feature < 0)
+            narrow = len(row["weights"]) == 4 * leaves * limits.n_classes
+            weights = np.frombuffer(row["weights"], dtype=np.float32 if narrow else np.float64).reshape(leaves, -1)
+            out.setdefault(row["tree"], {})[row["node"]] = feature, cut, left, weights
         return out
 
     @staticmethod
@@ -411,19 +476,23 @@ class GrownTrees:
         parts = []
         for t, tree in enumerate(trees):
             feature, cut, left, stats = ([x] for x in tree.frozen())
-            at = len(feature[0])
-            for node, (f, c, l, s) in sorted(below.get(t, {}).items()):
+            at, leaf_of = len(feature[0]), [np.zeros(len(feature[0]), dtype=np.int32)]
+            weights, n_leaves = [], 0
+            for node, (f, c, l, w) in sorted(below.get(t, {}).items()):
                 # Its root takes the small node's place, the others follow behind.
                 moved = np.where(f >= 0, l + (at - 1), 0).astype(np.int32)
-                feature[0][node], cut[0][node], left[0][node], stats[0][node] = f[0], c[0], moved[0], s[0]
-                for to, own in ((feature, f), (cut, c), (left, moved), (stats, s)):
+                place = np.where(f < 0, n_leaves + np.cumsum(f < 0) - 1, 0).astype(np.int32)
+                feature[0][node], cut[0][node], left[0][node], leaf_of[0][node] = f[0], c[0], moved[0], place[0]
+                for to, own in ((feature, f), (cut, c), (left, moved), (leaf_of, place)):
                     to.append(own[1:])
-                at += len(f) - 1
-            feature, cut, left, stats = (np.concatenate(x) for x in (feature, cut, left, stats))
-            leaf = feature < 0
-            left[leaf] = np.arange(leaf.sum())
-            weights = stats[leaf, :-1]
-            parts.append((feature, cut, left, weights / np.maximum(weights.sum(axis=1, keepdims=True), 1e-300)))
+                at, n_leaves = at + len(f) - 1, n_leaves + len(w)
+                weights.append(w)
+            # Leaves that no task has grown.
+            own = np.setdiff1d(np.flatnonzero(feature[0] < 0), list(below.get(t, {})))
+            leaf_of[0][own] = n_leaves + np.arange(len(own))
+            weights.append(_narrow(stats[0][own, :-1]))
+            feature, cut, left, leaf_of, weights = (np.concatenate(x) for x in (feature, cut, left, leaf_of, weights))
+            parts.append((feature, cut, np.where(feature < 0, leaf_of, left), weights))
         packed = io.BytesIO()
         np.savez_compressed(
             packed, edges=np.concatenate(edges), n_edges=np.array([len(e) for e in edges]),

@@ -1,6 +1,7 @@
 """Trees grown from histograms and below small nodes: the same either way, and as brute force splits."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,34 @@ def test_weights_one_class_and_too_few_rows(spark):
     assert rows(learning.score(split, df, ["a"]).orderBy("a"), "predicted") == [(2,)] * 3 + [(1,)] * 7
     one = learning.fit(df.where("a < 3"), two, learning.random_forest(trees=2, min_leaf=1))
     assert rows(learning.score(one, df.limit(1), []), "predicted") == [(2,)]
+
+
+def test_a_large_forest_takes_no_passes_for_nodes_that_its_tasks_hold(spark, crossed, monkeypatch):
+    """Many trees keep the tasks busy, so a node may have more rows; without row weights a row is sent in a byte a value."""
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 300)
+    build = learning.random_forest(trees=100, max_depth=3)
+    got = []
+    held = jobs_of(spark, lambda: got.append(learning.fit(crossed, stages(), build, partitions=2)))
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 100_000)
+    assert held == jobs_of(spark, lambda: learning.fit(crossed, stages(), build, partitions=2))
+    edges, grown = got[0].stages[-2]._parts()
+    assert len(grown) == 100 and all(t[3].dtype == np.float32 for t in grown)
+    limits = trees._Limits([len(e) + 1 for e in edges], 4, 20, 3, 2, 42, True, False)
+    bins, label = np.zeros((500, 3), np.uint8), np.zeros(500, np.uint8)
+    block = pa.RecordBatch.from_pylist([{"block": 0, "bins": bins.tobytes(), "label": label.tobytes(), "weight": np.ones(500).tobytes()}])
+    (sent,) = trees._rows_of({0: trees.Nodes(np.zeros(5)).frozen()}, {0: [0]}, limits)(iter([block]))
+    n = len(sent["label"][0].as_py())
+    assert len(sent["bins"][0].as_py()) == 3 * n and not sent["weight"][0].as_py()
+
+
+def test_small_nodes_by_brute_force():
+    """Rows below a node, with copies and weights, against every split looked at one by one."""
+    rng = np.random.default_rng(1)
+    bins, label = rng.integers(0, 9, (600, 3)).astype(np.uint8), rng.integers(0, 5, 600)
+    label[bins[:, 0] > 4] = 2
+    one = np.ones(600, np.uint8)
+    limits = trees._Limits([9, 9, 9], 5, 20, 4, 3, 42, False)
+    feature, cut, left, stats = trees.grown(bins, label, one.astype(float), one, limits, 0, (0, 0))
+    got = stats[trees.walked(bins, feature, cut, left), :-1]
+    assert np.allclose(got / got.sum(axis=1, keepdims=True), brute(bins, label, 4, 20))
+    assert (stats[:, -1] >= 20).all() and np.array_equal(stats[:, :-1].sum(axis=1), stats[:, -1])
